@@ -2,5 +2,38 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from docquarry.operators import references
+from docquarry.session import table
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    patents, doc_map, citations, postings = (table(spark, d, t) for t in ("patents", "doc_map", "citations", "postings"))
+    known = references.parents(patents, "doc_id", "loaded_at", doc_map, "doc_id", "removed_at")
+    return references.orphans(known, references.patent_references(patents, citations, doc_map, postings))
+
+
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    return references.per_period(p2_found(spark, d))
+
+
+P2_CASES = """
+    SELECT DISTINCT ref_table, strftime(seen, '%Y-%m') AS period, ref_id, missing_id FROM (
+        SELECT 'patents' AS ref_table, loaded_at AS seen, doc_id AS ref_id, unnest(cites) AS missing_id FROM patents
+        UNION ALL SELECT 'citations', recorded_at, src, CASE WHEN regexp_full_match(n, '[0-9]+') THEN try_cast(n AS bigint) END
+        FROM (SELECT *, regexp_replace(regexp_replace(doc_number, '[ ,]', '', 'g'), '^US', '') AS n FROM citations
+              WHERE country = 'US' AND kind IN ('B1', 'B2') AND cited_date > 20110000 AND cited_date < 20160000) c
+        UNION ALL SELECT 'doc_map', mapped_at, doc_id, doc_id FROM doc_map
+        UNION ALL SELECT 'postings', indexed_at, doc_id, doc_id FROM postings) r
+    LEFT JOIN (SELECT doc_id AS k, min(loaded_at) AS there FROM patents WHERE doc_id IS NOT NULL GROUP BY doc_id) p ON p.k = missing_id
+    LEFT JOIN (SELECT doc_id AS g, min(removed_at) AS gone FROM doc_map WHERE removed_at IS NOT NULL GROUP BY doc_id) m ON m.g = missing_id
+    WHERE missing_id > 0 AND seen IS NOT NULL AND (there IS NULL OR there > seen OR gone <= seen)"""
+
+QUERIES: dict = {"p2_found": p2_found, "p2_report": p2_report}
+SQL: dict[str, str] = {
+    "p2_found": P2_CASES,
+    "p2_report": "SELECT ref_table, period, count(*) AS n_references, count(DISTINCT missing_id) AS n_missing FROM ("
+    + P2_CASES
+    + ") GROUP BY ref_table, period",
+}
