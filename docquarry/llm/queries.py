@@ -2,12 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.llm import encoding, packing
+from docquarry.functions.text import tokens, tokens_sql
+from docquarry.llm import distinctive, encoding, packing
+from docquarry.llm.frequencies import CountStore
 from docquarry.session import table
 
+ZONES = ["title", "abstract", "claims", "description"]
+
+
+def zone_tokens() -> Column:
+    """Tokens of the four zones of a row."""
+    return F.concat(*[F.coalesce(tokens(z), F.array().cast("array<string>")) for z in ZONES])
+
+
+def posting_token() -> Column:
+    """The token of a postings row, as a list of one."""
+    return F.array(F.lower(F.trim("token")))
+
+
+def _loaded(spark: SparkSession, d: str) -> CountStore:
+    store = CountStore(spark)
+    store.apply("postings.token", None, table(spark, d, "postings"), "doc_id", ["token"], posting_token())
+    store.apply("patents.contents", None, table(spark, d, "patents"), "doc_id", ZONES, zone_tokens())
+    return store
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _loaded(spark, d).marked().filter("band IS NOT NULL").select("field", F.col("term").alias("token"), "band")
+
+
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts after an incremental step: first what was there by the end of 2013, then the changes since."""
+    store = CountStore(spark)
+    for field, name, at, content, terms in (
+        ("postings.token", "postings", "indexed_at", ["token"], posting_token()),
+        ("patents.contents", "patents", "loaded_at", ZONES, zone_tokens()),
+    ):
+        now = table(spark, d, name)
+        then = now.filter(F.col(at) < "2014-01-01")
+        store.apply(field, None, then, "doc_id", content, terms)
+        store.apply(field, then, now, "doc_id", content, terms)
+    return store.marked().withColumnsRenamed({"term": "token", "records": "n_docs"})
+
+
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    return distinctive.scores(table(spark, d, "patents"), "doc_id", "row_id", zone_tokens()).withColumnRenamed("term", "token")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).filter("tf >= 4 AND records BETWEEN 2 AND 8").select("doc_id", "token")
+
+
+def p3_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(spark, d).select("doc_id", "token", "tf", F.col("records").alias("n_docs"), F.round("score", 6).alias("score"))
+
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
@@ -31,6 +82,42 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
-QUERIES = {"p7_ids": p7_ids, "p7_decoded": p7_decoded, "p8_found": p8_found, "p8_packed": p8_packed}
-
-SQL = {"p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents"}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_counts": p1_counts,
+    "p3_found": p3_found,
+    "p3_scores": p3_scores,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
+    "p8_found": p8_found,
+    "p8_packed": p8_packed,
+}
+
+_ZONE_TOKENS = " || ".join(f"coalesce({tokens_sql(z)}, [])" for z in ZONES)
+_P1_COUNTS = f"""
+    WITH rows_ AS (
+        SELECT 'postings.token' AS field, doc_id, lower(trim(token, ' ')) AS token FROM postings WHERE doc_id IS NOT NULL AND token IS NOT NULL
+        UNION ALL
+        SELECT 'patents.contents', doc_id, unnest({_ZONE_TOKENS}) FROM patents WHERE doc_id IS NOT NULL),
+    n AS (SELECT 'postings.token' AS field, count(DISTINCT doc_id) AS n FROM postings
+          UNION ALL SELECT 'patents.contents', count(DISTINCT doc_id) FROM patents)
+    SELECT field, token, occurrences, n_docs,
+           CASE WHEN n_docs <= 2 THEN 'rare' WHEN n_docs > 0.3::DOUBLE * n THEN 'common' END AS band
+    FROM (SELECT field, token, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM rows_ GROUP BY field, token) c
+    JOIN n USING (field)"""
+_P3_SCORES = f"""
+    WITH per_row AS (SELECT doc_id, row_id, token, count(*) AS tf FROM
+            (SELECT doc_id, row_id, unnest({_ZONE_TOKENS}) AS token FROM patents WHERE doc_id IS NOT NULL) x GROUP BY ALL),
+    local AS (SELECT doc_id, token, max(tf) AS tf FROM per_row GROUP BY ALL),
+    n AS (SELECT count(DISTINCT doc_id) AS n FROM patents),
+    spread AS (SELECT token, count(*) AS n_docs, sum(tf) AS gf, sum(tf * ln(tf)) AS tlt FROM local GROUP BY token)
+    SELECT doc_id, token, tf, n_docs, round(ln(1 + tf) * (1 - (ln(gf) - tlt / gf) / ln(n)), 6) AS score
+    FROM local JOIN spread USING (token), n"""
+
+SQL = {
+    "p1_found": f"SELECT field, token, band FROM ({_P1_COUNTS}) WHERE band IS NOT NULL",
+    "p1_counts": _P1_COUNTS,
+    "p3_found": f"SELECT doc_id, token FROM ({_P3_SCORES}) WHERE tf >= 4 AND n_docs BETWEEN 2 AND 8",
+    "p3_scores": _P3_SCORES,
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+}
