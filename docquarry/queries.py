@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquarry.operators import references
+from docquarry.operators import nested, references
 from docquarry.session import table
 
 
@@ -18,6 +18,22 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return references.per_period(p2_found(spark, d))
 
 
+def _grants(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten(table(spark, d, "grants_raw"), "raw_id", "fmt", "payload")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _grants(spark, d).select("raw_id", "kind", "node_no", "parent_no")
+
+
+def p6_variants(spark: SparkSession, d: str) -> DataFrame:
+    return _grants(spark, d).groupBy("kind", "variant").count().withColumnRenamed("count", "n_elements")
+
+
+def _subtype(kind: str):
+    return lambda spark, d: nested.subtype(_grants(spark, d), "raw_id", kind)
+
+
 P2_CASES = """
     SELECT DISTINCT ref_table, strftime(seen, '%Y-%m') AS period, ref_id, missing_id FROM (
         SELECT 'patents' AS ref_table, loaded_at AS seen, doc_id AS ref_id, unnest(cites) AS missing_id FROM patents
@@ -30,7 +46,13 @@ P2_CASES = """
     LEFT JOIN (SELECT doc_id AS g, min(removed_at) AS gone FROM doc_map WHERE removed_at IS NOT NULL GROUP BY doc_id) m ON m.g = missing_id
     WHERE missing_id > 0 AND seen IS NOT NULL AND (there IS NULL OR there > seen OR gone <= seen)"""
 
-QUERIES: dict = {"p2_found": p2_found, "p2_report": p2_report}
+QUERIES: dict = {
+    "p2_found": p2_found,
+    "p2_report": p2_report,
+    "p6_found": p6_found,
+    "p6_variants": p6_variants,
+    **{f"p6_{kind}": _subtype(kind) for kind in nested.KINDS},
+}
 SQL: dict[str, str] = {
     "p2_found": P2_CASES,
     "p2_report": "SELECT ref_table, period, count(*) AS n_references, count(DISTINCT missing_id) AS n_missing FROM ("
