@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.text import tokens, tokens_sql
 from docquarry.llm import distinctive, encoding, packing
 from docquarry.llm.frequencies import CountStore
+from docquarry.llm.neardup import NearDuplicates
 from docquarry.session import table
 
 ZONES = ["title", "abstract", "claims", "description"]
@@ -60,6 +61,19 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("doc_id", "token", "tf", F.col("records").alias("n_docs"), F.round("score", 6).alias("score"))
 
 
+def _near(spark: SparkSession, d: str) -> NearDuplicates:
+    patents = table(spark, d, "patents")
+    return NearDuplicates(patents.select("doc_id", F.concat_ws(" ", *ZONES[1:]).alias("body")), "doc_id", "body")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).pairs()
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _near(spark, d).groups().withColumnRenamed("doc", "doc_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"), "doc_id", "text")
 
@@ -87,6 +101,8 @@ QUERIES = {
     "p1_counts": p1_counts,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
