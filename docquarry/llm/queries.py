@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens, tokens_sql
-from docquarry.llm import distinctive, encoding, packing
+from docquarry.llm import distinctive, encoding, packing, sentences
 from docquarry.llm.frequencies import CountStore
 from docquarry.llm.neardup import NearDuplicates
 from docquarry.session import table
@@ -61,6 +61,10 @@ def p3_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scores(spark, d).select("doc_id", "token", "tf", F.col("records").alias("n_docs"), F.round("score", 6).alias("score"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.split(table(spark, d, "patents"), "row_id", {"abstract": "Abstract", "description": "Description"})
+
+
 def _near(spark: SparkSession, d: str) -> NearDuplicates:
     patents = table(spark, d, "patents")
     return NearDuplicates(patents.select("doc_id", F.concat_ws(" ", *ZONES[1:]).alias("body")), "doc_id", "body")
@@ -101,6 +105,7 @@ QUERIES = {
     "p1_counts": p1_counts,
     "p3_found": p3_found,
     "p3_scores": p3_scores,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p7_ids": p7_ids,
