@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens, tokens_sql
-from docquarry.llm import distinctive, encoding, packing, sentences
+from docquarry.llm import distinctive, encoding, packing, sentences, spampages
 from docquarry.llm.frequencies import CountStore
 from docquarry.llm.neardup import NearDuplicates
 from docquarry.session import table
@@ -100,6 +100,11 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    prose = F.col("zone").isin("abstract", "claims", "description")
+    return spampages.spam_pages(table(spark, d, "documents"), "doc_id", "text", "lang", prose).select("doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -112,6 +117,7 @@ QUERIES = {
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
     "p8_packed": p8_packed,
+    "p9_found": p9_found,
 }
 
 _ZONE_TOKENS = " || ".join(f"coalesce({tokens_sql(z)}, [])" for z in ZONES)
