@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docquarry import engine_queries
 from docquarry.operators import nested, references
 from docquarry.session import table
 
@@ -47,6 +48,7 @@ P2_CASES = """
     WHERE missing_id > 0 AND seen IS NOT NULL AND (there IS NULL OR there > seen OR gone <= seen)"""
 
 QUERIES: dict = {
+    **engine_queries.QUERIES,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p6_found": p6_found,
@@ -54,6 +56,7 @@ QUERIES: dict = {
     **{f"p6_{kind}": _subtype(kind) for kind in nested.KINDS},
 }
 SQL: dict[str, str] = {
+    **engine_queries.SQL,
     "p2_found": P2_CASES,
     "p2_report": "SELECT ref_table, period, count(*) AS n_references, count(DISTINCT missing_id) AS n_missing FROM ("
     + P2_CASES
