@@ -80,13 +80,14 @@ def shape(label: str, has_text: bool, below: set[tuple[str, str]]) -> str:
 
 
 class _Tree:
-    """Elements in document order: label, parent, attributes, text."""
+    """Elements in document order: label, parent, attribute num, and text as (place in the document, characters)."""
 
     def __init__(self) -> None:
         self.labels: list[str] = []
         self.parents: list[int] = []
         self.nums: list[str | None] = []
-        self.texts: list[list[str]] = []
+        self.texts: list[list[tuple[int, str]]] = []
+        self.place = 0
 
     def add(self, label: str, parent: int, num: str | None = None) -> int:
         self.labels.append(label)
@@ -95,6 +96,15 @@ class _Tree:
         self.texts.append([])
         return len(self.labels) - 1
 
+    def say(self, at: int, text: str) -> None:
+        self.texts[at].append((self.place, text))
+        self.place += 1
+
+
+def joined(texts: list[tuple[int, str]]) -> str:
+    """Characters in document order."""
+    return "".join(x for _, x in sorted(texts))
+
 
 def read_xml(payload: str) -> _Tree:
     """The tree of a well-formed document; comments count for nothing, CDATA is text. Raises expat.error otherwise."""
@@ -106,7 +116,7 @@ def read_xml(payload: str) -> _Tree:
         stack.append(tree.add(name, stack[-1], attributes.get("num")))
 
     def chars(text):
-        tree.texts[stack[-1]].append(text)
+        tree.say(stack[-1], text)
 
     parser.StartElementHandler = start
     parser.EndElementHandler = lambda _: stack.pop()
@@ -138,14 +148,14 @@ def read_json(payload: str) -> _Tree:
             at = tree.add(label, parent) if label else -1
             for name, x in reversed(value):
                 if name == "text" and at >= 0 and isinstance(x, str):
-                    tree.texts[at].insert(0, x)
+                    tree.say(at, x)
                 elif name == "num" and at >= 0 and not isinstance(x, list):
                     tree.nums[at] = None if x is None else str(x)
                 else:
                     todo.append((name, at, x))
         elif label:
             text = value if isinstance(value, str) else json.dumps(value)
-            tree.texts[tree.add(label, parent)].append(text)
+            tree.say(tree.add(label, parent), text)
     return tree
 
 
@@ -155,13 +165,13 @@ def rows_of(tree: _Tree) -> Iterator[tuple]:
     below: list[set] = [set() for _ in range(n)]
     states = [""] * n
     for k in range(n - 1, -1, -1):  # children come after their parents
-        states[k] = shape(tree.labels[k], any(x.strip() for x in tree.texts[k]), below[k])
+        states[k] = shape(tree.labels[k], any(x.strip() for _, x in tree.texts[k]), below[k])
         if tree.parents[k] >= 0:
             below[tree.parents[k]].add((tree.labels[k], states[k]))
     places = [""] * n
     owner = [-1] * n  # the nearest element with rows, at or above
     numbers = [""] * n
-    text: list[list[str]] = [[] for _ in range(n)]
+    text: list[list[tuple[int, str]]] = [[] for _ in range(n)]
     fields: list[dict] = [{} for _ in range(n)]
     counts: dict[tuple[int, str], int] = {}
     made = []
@@ -180,13 +190,13 @@ def rows_of(tree: _Tree) -> Iterator[tuple]:
             if above >= 0:
                 field = FIELDS.get(tree.labels[k])
                 if field:
-                    fields[above].setdefault(field, "".join(tree.texts[k]))
+                    fields[above].setdefault(field, joined(tree.texts[k]))
                 elif tree.labels[k] not in STRUCTURE:
                     text[above].extend(tree.texts[k])  # mark-up inside text
         places[k] = place or "-"
     for k, above, kind in made:
         f = fields[k]
-        words = "".join(text[k]) if kind not in ("citation", "document_id") else f.get("other")
+        words = joined(text[k]) if kind not in ("citation", "document_id") else f.get("other")
         parent = numbers[above] if above >= 0 else ""
         yield (kind, states[k], numbers[k], parent, words, tree.nums[k], f.get("country"), f.get("doc_number"), f.get("kind_code"), f.get("date"))
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry.operators.nested import parse
+from docquarry.operators.nested import joined, parse
 
 #: Which citations count.
 CITED_AFTER, CITED_BEFORE, CITED_KINDS = 20110000, 20160000, ("B1", "B2")
@@ -55,15 +55,14 @@ def grant_record(payload: str) -> tuple | None:
     if tree is None:
         return None
     below: list[list[int]] = [[] for _ in tree.labels]
-    whole = ["".join(t) for t in tree.texts]
-    # the string value of an element holds its descendants' texts in document order
-    order: list[list[tuple[int, str]]] = [[(k, w)] for k, w in enumerate(whole)]
+    # the string value of an element holds the texts of all elements in it
+    inside = [list(t) for t in tree.texts]
     for k in range(len(tree.labels) - 1, -1, -1):
         up = tree.parents[k]
         if up >= 0:
             below[up].insert(0, k)
-            order[up].extend(order[k])
-    value = lambda k: "".join(w for _, w in sorted(order[k], key=lambda x: x[0]))
+            inside[up].extend(inside[k])
+    value = lambda k: joined(inside[k])
     root = next((k for k, x in enumerate(tree.labels) if x == ROW), None)
     if root is None:
         return None
