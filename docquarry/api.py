@@ -26,7 +26,7 @@ class Engine:
         """Builds the index of documents with PageRank, stores it below path and opens it."""
         spark = ship(docs.sparkSession)
         ranks = pagerank.pagerank(docs, index.build_citations(docs))
-        built = index.build(docs, stop_words, stem, cf_mode, ranks)
+        built = index.build(docs, stop_words, stem, cf_mode, ranks, written=True)
         index.save(built, path, "zstd" if compress else "none")
         return cls.load(spark, path, stop_words, stem, options)
 

@@ -39,18 +39,31 @@ def tables(spark: SparkSession, d: str, stem: bool = False) -> index.Index:
     return index.build(docs(spark, d), stops(spark, d), stem)
 
 
+_stored: dict[tuple, index.Index] = {}
+
+
+def stored(spark: SparkSession, d: str) -> index.Index:
+    """The unstemmed index of a data directory, built and written once per application, then read from its tables."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _stored:
+        words, path = stops(spark, d), scratch_path(spark, "index")
+        index.save(index.build(docs(spark, d), words, written=True), path)
+        _stored[key] = index.load(spark, path, words)
+    return _stored[key]
+
+
 def match(text: str, options: Options = Options()):
     """A query giving the document numbers a search string matches."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return compile_query(parse(text, stops(spark, d)), tables(spark, d), options).docs()
+        return compile_query(parse(text, stops(spark, d)), stored(spark, d), options).docs()
 
     return run
 
 
 def rank(text: str, k: int = TOP):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        idx = tables(spark, d)
+        idx = stored(spark, d)
         got = ranking.top(ranking.score(idx, compile_query(parse(text, idx.stop_words), idx), k), k)
         return got.select("rank", "doc_id", F.round("score", 6).alias("score"))
 
@@ -59,7 +72,7 @@ def rank(text: str, k: int = TOP):
 
 def recent(text: str, k: int = TOP):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        idx = tables(spark, d)
+        idx = stored(spark, d)
         return ranking.most_recent(idx, compile_query(parse(text, idx.stop_words), idx), k).select("rank", "doc_id")
 
     return run
@@ -69,7 +82,7 @@ def cells(text: str, options: Options = Options()):
     """A query giving the matched cells of a search string."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return compile_query(parse(text, stops(spark, d)), tables(spark, d), options).cells.select("token", "doc_id", "ct", "tf")
+        return compile_query(parse(text, stops(spark, d)), stored(spark, d), options).cells.select("token", "doc_id", "ct", "tf")
 
     return run
 
@@ -97,7 +110,7 @@ def postings_stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spell_correct(spark: SparkSession, d: str) -> DataFrame:
-    lexicon = tables(spark, d).lexicon
+    lexicon = stored(spark, d).lexicon
     parts = [spelling.correction(lexicon, t) for t in (MISSPELT, "vlave", "lazer", "qqqqqq")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
@@ -125,7 +138,7 @@ def ndcg(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _first_round(spark: SparkSession, d: str, k: int):
-    idx = tables(spark, d)
+    idx = stored(spark, d)
     hits = compile_query(parse(f"{RARE} {OTHER}", idx.stop_words), idx)
     return idx, hits, ranking.top(ranking.score(idx, hits, k), k)
 
@@ -146,7 +159,7 @@ def prf_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coord_level(spark: SparkSession, d: str) -> DataFrame:
-    hits = compile_query(parse(f"{WORD} {OTHER} {RARE} {PREFIX}*", stops(spark, d)), tables(spark, d))
+    hits = compile_query(parse(f"{WORD} {OTHER} {RARE} {PREFIX}*", stops(spark, d)), stored(spark, d))
     return ranking.coordination(hits.cells, TOP)
 
 
@@ -188,7 +201,7 @@ def sentence_map(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql import Window
 
     at = sentence_offsets(spark, d).withColumn("next", F.lead("first_token").over(Window.partitionBy("doc_id").orderBy("n")))
-    hits = tables(spark, d).postings.filter((F.col("token") == WORD) & (F.col("ct") == "Abstract")).select("doc_id", F.explode("positions").alias("pos"))
+    hits = stored(spark, d).postings.filter((F.col("token") == WORD) & (F.col("ct") == "Abstract")).select("doc_id", F.explode("positions").alias("pos"))
     inside = (F.col("pos") >= F.col("first_token")) & (F.col("next").isNull() | (F.col("pos") < F.col("next")))
     return hits.join(at, "doc_id").filter(inside).select("doc_id", "pos", "n")
 
@@ -343,12 +356,12 @@ QUERIES = {
     "index_stats": lambda s, d: index.entries(tables(s, d)),
     "term_lookup": cells(WORD),
     "prefix_lookup": cells(f"{PREFIX}*"),
-    "lexicon_prefix": lambda s, d: tables(s, d).lexicon.filter(F.col("token").startswith(PREFIX)),
+    "lexicon_prefix": lambda s, d: stored(s, d).lexicon.filter(F.col("token").startswith(PREFIX)),
     "doc_map": lambda s, d: tables(s, d).doc_map,
-    "doc_lookup": lambda s, d: tables(s, d).doc_map.filter(F.col("doc_id") == DOC),
-    "content_lookup": lambda s, d: tables(s, d).contents.filter(F.col("doc_id") == DOC),
+    "doc_lookup": lambda s, d: stored(s, d).doc_map.filter(F.col("doc_id") == DOC),
+    "content_lookup": lambda s, d: stored(s, d).contents.filter(F.col("doc_id") == DOC),
     "zone_extract": lambda s, d: docs(s, d).select("doc_id", "title", "abstract", "claims", "description"),
-    "zone_filter": lambda s, d: tables(s, d).postings.filter("ct = 'Abstract'").select("token", "doc_id", "tf"),
+    "zone_filter": lambda s, d: stored(s, d).postings.filter("ct = 'Abstract'").select("token", "doc_id", "tf"),
     "field_concat": lambda s, d: docs(s, d).select("doc_id", F.array_join(F.array(*ZONE_COLUMNS.values()), "").alias("text")),
     "keyword_or": match(f"{WORD} {RARE}"),
     "bool_or": match(f"{RARE} OR {PREFIX}*"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from docquarry.functions.stemmer import stem_column
 from docquarry.functions.text import tokens
 from docquarry.schemas import ZONE_COLUMNS
+from docquarry.session import materialize
 
 
 @dataclass
@@ -96,10 +97,16 @@ def build_citations(docs: DataFrame) -> DataFrame:
     return links.filter("dst > 0").distinct()
 
 
-def build(docs: DataFrame, stop_words: frozenset[str] = frozenset(), stem: bool = False, cf_mode: str = "zones", page_ranks: DataFrame | None = None) -> Index:
-    """The index of documents (doc_id, file_id, title, abstract, claims, description, cites)."""
-    zoned = zone_tokens(docs)
-    postings = build_postings(occurrences(zoned, stop_words, stem))
+def build(docs: DataFrame, stop_words: frozenset[str] = frozenset(), stem: bool = False, cf_mode: str = "zones", page_ranks: DataFrame | None = None, written: bool = False) -> Index:
+    """The index of documents (doc_id, file_id, title, abstract, claims, description, cites).
+
+    written: documents, their tokens and the postings are written to the shared folder on the way, since several tables
+    derive from each; without it everything is lazy, and a plan computes what it needs.
+    """
+    keep = materialize if written else lambda df, _: df
+    docs = keep(docs, "docs")
+    zoned = keep(zone_tokens(docs), "zones")
+    postings = keep(build_postings(occurrences(zoned, stop_words, stem)), "postings")
     doc_len, lexicon = build_doc_len(zoned), build_lexicon(postings, cf_mode)
     return Index(
         postings, doc_len, lexicon, build_stats(lexicon, docs), build_doc_map(docs, doc_len, page_ranks), build_contents(docs),

@@ -10,7 +10,7 @@ from docquarry.session import materialize
 #: Fixed values.
 DAMPING, ITERATIONS = 0.85, 45
 #: Iterations between written tables, which cut the lineage.
-EVERY = 5
+EVERY = 9
 
 
 def pagerank(docs: DataFrame, citations: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
@@ -23,8 +23,9 @@ def pagerank(docs: DataFrame, citations: DataFrame, damping: float = DAMPING, it
     nodes = docs.select(F.col("doc_id").alias("id")).distinct()
     degree = citations.groupBy("src").agg(F.count("*").alias("degree"))
     inside = citations.join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi").join(nodes.withColumnRenamed("id", "src"), "src", "left_semi")
-    edges = materialize(inside.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("w")), "edges").persist()
-    nodes = materialize(nodes, "nodes").persist()
+    # both kept in the partitioning of the joins, so an iteration shuffles only the sums
+    edges = materialize(inside.join(degree, "src").select("src", "dst", (F.lit(damping) / F.col("degree")).alias("w")), "edges").repartition("src").persist()
+    nodes = materialize(nodes, "nodes").repartition("id").persist()
     n = nodes.count()
     if not n:
         return nodes.select(F.col("id").alias("doc_id"), F.lit(0.0).alias("page_rank"))
