@@ -78,6 +78,7 @@ _END = re.compile(
     r"(?:(?<![.\s])[.．](?:\s?[.．]){0,2}|[!?。！？؟।॥…｡‽])[.!?。！？؟।॥…．｡‽]*(?:[\"”’»›」』）)\]】］〕}“]|\s?[»”](?=\s|$|[^\w\s]))*"
 )
 _BLANK_LINES = re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")
+_ENDED = re.compile(r"[.!?。！？؟।॥][\"”’»›」』）)\]】］〕}“]*$")
 _LINE = re.compile(r"\s*\n\s*")
 _SPACE = re.compile(r"\s+")
 _LAST_WORD = re.compile(rf"(?:{_L}\.(?:-?{_L}{{1,3}}\.)*-?{_L}{{1,3}}|(?:{_L}|\d)+(?:[’'-](?:{_L}|\d)+)*)$")
@@ -272,7 +273,7 @@ def _heading(line: str, following: str) -> bool:
     line = line.strip()
     if not line or not following or len(line) > 42 or line[-1] in TERMINATORS or line[-1] in ",;:-–、，；：":
         return False
-    if line[-1] in "»”\"“)」" and len(line) > 1 and line[-2] in TERMINATORS:
+    if line[-1] in "»”\"“)」" and len(line) > 1 and line[-2] in TERMINATORS or re.search(r"[,;:.] ", line):
         return False
     kind, _ = _opening(line, 0, len(line))
     if kind == "lower" or kind == "none":
@@ -304,8 +305,12 @@ def _parts(text: str) -> Iterator[tuple[int, int]]:
                 yield begin, b
                 break
             following = text[lines[k + 1][0] : lines[k + 1][1]]
-            own = x == begin and _heading(text[x:y], following)
+            ended = x == begin or _ENDED.search(text, max(begin, x - 40), lines[k - 1][1]) is not None
+            own = ended and _heading(text[x:y], following)
             kind, _ = _opening(following, 0, len(following))
+            if own and x != begin:
+                yield begin, lines[k - 1][1]
+                begin = x
             if own or (not wrapped and kind not in ("lower", "mark", "none")):
                 yield begin, y
                 begin = lines[k + 1][0]
