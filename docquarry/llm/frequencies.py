@@ -12,7 +12,9 @@ empty table gives no counts. Terms whose counts fall to zero leave the table.
 
 from __future__ import annotations
 
+from fractions import Fraction
 from functools import reduce
+from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,6 +116,7 @@ class CountStore:
         parts = []
         for field in self.versions:
             n = self.records[field]
-            band = F.when(F.col("records").between(1, rare), "rare").when(F.col("records") > common * n, "common")
+            most = floor(Fraction(str(common)) * n)  # exact where the share of n is a whole number
+            band = F.when(F.col("records").between(1, rare), "rare").when(F.col("records") > most, "common")
             parts.append(self.counts(field).select(F.lit(field).alias("field"), "term", "occurrences", "records", band.alias("band")))
         return reduce(DataFrame.unionByName, parts)

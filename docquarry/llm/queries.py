@@ -129,7 +129,7 @@ _P1_COUNTS = f"""
     n AS (SELECT 'postings.token' AS field, count(DISTINCT doc_id) AS n FROM postings
           UNION ALL SELECT 'patents.contents', count(DISTINCT doc_id) FROM patents)
     SELECT field, token, occurrences, n_docs,
-           CASE WHEN n_docs <= 2 THEN 'rare' WHEN n_docs > 0.3::DOUBLE * n THEN 'common' END AS band
+           CASE WHEN n_docs <= 2 THEN 'rare' WHEN 10 * n_docs > 3 * n THEN 'common' END AS band
     FROM (SELECT field, token, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM rows_ GROUP BY field, token) c
     JOIN n USING (field)"""
 _P3_SCORES = f"""
@@ -141,7 +141,16 @@ _P3_SCORES = f"""
     SELECT doc_id, token, tf, n_docs, round(ln(1 + tf) * (1 - (ln(gf) - tlt / gf) / ln(n)), 6) AS score
     FROM local JOIN spread USING (token), n"""
 
+_P5_PAIRS = r"""
+    WITH docs AS MATERIALIZED (SELECT doc_id, trim(regexp_replace(lower(concat_ws(' ', any_value(abstract), any_value(claims), any_value(description))), '\s+', ' ', 'g'), ' ') AS t
+        FROM patents WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    runs AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(list_transform(range(1, len(t) - 6), lambda i: substr(t, i, 8)))) AS r FROM docs WHERE len(t) >= 300),
+    sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS m FROM runs a JOIN runs b ON a.r = b.r AND a.doc_id < b.doc_id GROUP BY ALL)
+    SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE 10 * m >= 6 * (x.n + y.n - m)"""
+
 SQL = {
+    "p5_found": _P5_PAIRS,
     "p1_found": f"SELECT field, token, band FROM ({_P1_COUNTS}) WHERE band IS NOT NULL",
     "p1_counts": _P1_COUNTS,
     "p3_found": f"SELECT doc_id, token FROM ({_P3_SCORES}) WHERE tf >= 4 AND n_docs BETWEEN 2 AND 8",

@@ -81,7 +81,7 @@ _BLANK_LINES = re.compile(r"[^\S\n]*\n[^\S\n]*\n\s*")
 _ENDED = re.compile(r"[.!?。！？؟।॥][\"”’»›」』）)\]】］〕}“]*$")
 _LINE = re.compile(r"\s*\n\s*")
 _SPACE = re.compile(r"\s+")
-_LAST_WORD = re.compile(rf"(?:{_L}\.(?:-?{_L}{{1,3}}\.)*-?{_L}{{1,3}}|(?:{_L}|\d)+(?:[’'-](?:{_L}|\d)+)*)$")
+_LAST_WORD = re.compile(rf"(?:(?<![^\W\d_]){_L}\.(?:-?{_L}{{1,3}}\.)*-?{_L}{{1,3}}|(?:{_L}|\d)+(?:[’'-](?:{_L}|\d)+)*)$")
 _THAI = re.compile(r"[฀-๿]")
 _NUMBERED = re.compile(r"\[\d+\]\s*$")
 
@@ -134,7 +134,7 @@ def _closing(text: str, at: int, language: str) -> str:
         if lead[-1:] == "°" or lead[-1:].isdigit():
             return "maybe"  # a unit
         return "initial"
-    if word in NEVER or word.rsplit(".", 1)[-1] in NEVER and "." in word:
+    if any(word[k:] in NEVER for k in (0, *(k + 1 for k, c in enumerate(word) if c == "."))):
         return "never"
     if word in NUMBERED:
         return "numbered"
@@ -218,8 +218,6 @@ def _boundary(text: str, stop: int, after: int, end: int, language: str) -> floa
             return -9.0 if text[stop - 1 : stop].isdigit() or letter else score
         if kind in ("lower", "mixed"):
             return -9.0 if kind == "lower" else score - 2.0
-        if letter and kind == "upper" and stop >= 2 and not text[stop - 2].isalpha() and text[stop - 1].isupper():
-            return -9.0  # inside an abbreviation of capitals
     return score
 
 

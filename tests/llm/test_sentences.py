@@ -51,6 +51,7 @@ def test_lines():
         "BACKGROUND", "The pump is shown.", "It\nruns well.", "Example 3", "Another pump is shown here.",
     ]
     assert units("The pump is closed.The valve is open.\n\nA last one without an end\n\nX") == ["The pump is closed.", "The valve is open.", "A last one without an end", "X"]
+    assert units("It is 5 cm.U.S. Pat. No. 7 is old.It is 9° C.The end is 4 N.Ser. No. 5 holds.") == ["It is 5 cm.", "U.S. Pat. No. 7 is old.", "It is 9° C.", "The end is 4 N.", "Ser. No. 5 holds."]
     assert units("No end at all") == ["No end at all"] and units(" \n\t ") == [] and units("") == []
 
 
