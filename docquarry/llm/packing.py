@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, list[int]]:
 def pack(
     items: DataFrame, key: str, size: str, capacity: int = CAPACITY, slack: float = SLACK, fan_in: int = FAN_IN
 ) -> DataFrame:
-    """(key, piece_no int, first_unit int, n_units int, container_id bigint, container_fill int).
+    """(key, piece_no int, first_unit bigint, n_units int, container_id bigint, container_fill int).
 
     An item larger than the capacity is split: full containers, and a rest that is packed like any
     other item. Items of size 0, and those of null or negative size, need no room: one row each with
@@ -71,62 +72,59 @@ def pack(
     kind = items.schema[key].dataType.simpleString()
     floor = capacity - int(capacity * slack)
 
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        got = [f for f in frames if len(f)]
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        f = pd.concat(got, ignore_index=True)
-        sizes = f["size"].fillna(0).clip(lower=0).to_numpy(np.int64)
+        table = pa.Table.from_batches(got)
+        sizes = np.maximum(table.column(1).fill_null(0).to_numpy(), 0)
         whole, rest = sizes // capacity, sizes % capacity
         n = np.where(sizes > 0, -(-sizes // capacity), 1)
-        row = np.repeat(np.arange(len(f)), n)
+        row = np.repeat(np.arange(len(sizes)), n)
         piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         units = np.where(piece < whole[row], capacity, rest[row])
         bins = np.full(len(row), -1, np.int64)
         fill = np.zeros(len(row), np.int64)
         open_ = (units > 0) & (units < capacity)
         where, fills = best_fit(units[open_], capacity)
-        fills = np.array(fills, np.int64)
         bins[open_] = where
-        fill[open_] = fills[where] if len(where) else 0
+        fill[open_] = np.array(fills, np.int64)[where]
         full = units == capacity
         bins[full] = len(fills) + np.arange(full.sum())
         fill[full] = capacity
-        yield pd.DataFrame(
-            {
-                "key": f["key"].to_numpy()[row],
-                "piece_no": piece.astype(np.int32),
-                "first_unit": (piece * capacity).astype(np.int32),
-                "n_units": units.astype(np.int32),
-                "bin": np.where(bins >= 0, bins | np.int64(part) << 32, -1),
-                "fill": fill.astype(np.int32),
-            }
-        )
-
-    placed = materialize(
-        items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")).mapInPandas(
-            local, f"key {kind}, piece_no int, first_unit int, n_units int, bin bigint, fill int"
-        ),
-        "packed",
-    )
-    under = placed.filter((F.col("bin") >= 0) & (F.col("fill") < floor))
+        columns = {
+            "key": table.column(0).take(pa.array(row)),
+            "piece_no": pa.array(piece.astype(np.int32)),
+            "first_unit": pa.array(piece * capacity),
+            "n_units": pa.array(units.astype(np.int32)),
+            "bin": pa.array(np.where(bins >= 0, bins | np.int64(part) << 32, -1)),
+            "fill": pa.array(fill.astype(np.int32)),
+        }
+        yield from pa.table(columns).combine_chunks().to_batches(max_chunksize=100_000)
+
+    source = items.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"))
+    schema = f"key {kind}, piece_no int, first_unit bigint, n_units int, bin bigint, fill int"
+    placed = materialize(source.mapInArrow(local, schema), "packed")
+    is_open = (F.col("bin") >= 0) & (F.col("fill") < floor)
+    under = placed.filter(is_open)
     bins = under.groupBy("bin").agg(F.first("fill").alias("fill")).select("bin", "fill", F.array("bin").alias("members"))
-    moved = _merge_rounds(bins, capacity, floor, fan_in)
-    at = placed.join(moved, "bin", "left")
-    return at.select(
+    # only items of open bins are joined; those of closed bins, and those without a bin, stay as they lie
+    moved = under.join(_merge_rounds(bins, capacity, floor, fan_in), "bin", "left")
+    moved = moved.withColumns({"bin": F.coalesce("new_bin", "bin"), "fill": F.coalesce("new_fill", "fill")})
+    rows = placed.filter(~is_open).unionByName(moved.drop("new_bin", "new_fill"))
+    return rows.select(
         F.col("key").alias(key),
         "piece_no",
         "first_unit",
         "n_units",
-        F.when(F.col("bin") >= 0, F.coalesce("new_bin", "bin")).alias("container_id"),
-        F.when(F.col("bin") >= 0, F.coalesce("new_fill", "fill")).alias("container_fill"),
+        F.when(F.col("bin") >= 0, F.col("bin")).alias("container_id"),
+        F.when(F.col("bin") >= 0, F.col("fill")).alias("container_fill"),
     )
 
 
 def _merge_rounds(bins: DataFrame, capacity: int, floor: int, fan_in: int) -> DataFrame:
     """(bin, new_bin, new_fill) of the bins that rounds of the tree have merged; others may be absent."""
-    spark = bins.sparkSession
 
     def join_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
