@@ -19,6 +19,7 @@ from docquarry.plans.parser import parse
 from docquarry.schemas import ZONE_COLUMNS, ZONES
 from docquarry.session import scratch_path, table
 from docquarry.sources.corpus import DOCS, grant_record, patent_docs, stop_words
+from docquarry.streaming import incremental
 
 #: Terms of the sample queries.
 WORD, OTHER, RARE, PREFIX, DOC = "housing", "valve", "laser", "magnet", 1000001
@@ -227,6 +228,25 @@ def xml_zones(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "grants_raw").filter("fmt = 'xml'").select("file_id", "payload").mapInArrow(run, DOCS)
 
 
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    """Postings of a stored index that two micro-batches of a file stream have built."""
+    source, out, at = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "at"))
+    every = docs(spark, d).persist()
+    for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):  # both halves: the second arrives after the first is indexed
+        every.filter(part).write.mode("append").parquet(source)
+        incremental.index_stream(spark.readStream.schema(DOCS).parquet(source), out, at, stops(spark, d)).awaitTermination()
+    every.unpersist()
+    return incremental.read(spark, out, stops(spark, d)).postings.select("token", "doc_id", "ct", "tf")
+
+
+def snippet(spark: SparkSession, d: str) -> DataFrame:
+    """Snippets of the best documents of a keyword query, unstemmed."""
+    idx = stored(spark, d)
+    hits = compile_query(parse(f"{RARE} {OTHER}", idx.stop_words), idx)
+    shown = feedback.snippets(ranking.top(ranking.score(idx, hits, TOP), TOP), hits.cells, idx.contents)
+    return shown.select("rank", "doc_id", "snippet", F.array_join("tokens", " ").alias("tokens"))
+
+
 def strict_phrase(spark: SparkSession, d: str) -> DataFrame:
     return match('"' + " ".join(PHRASE3) + '"', Options(strict_phrase=True))(spark, d)
 
@@ -347,6 +367,7 @@ QUERIES = {
     "tokenize": tokenize,
     "stopword_filter": stopword_filter,
     "doc_length": doc_length,
+    "doc_total_length": lambda s, d: index.build_doc_len(index.zone_tokens(docs(s, d))).groupBy("doc_id").agg(F.sum("len").alias("len")),
     "postings_build": postings_build,
     "postings_stored": postings_stored,
     "term_freq": lambda s, d: tables(s, d).postings.select("token", "doc_id", "ct", "tf"),
@@ -375,6 +396,7 @@ QUERIES = {
     "link_to": match(f"LinkTo:{DOC}"),
     "citation_edges": citation_edges,
     "phrase_2": match('"' + " ".join(PHRASE2) + '"'),
+    "phrase_2_arrays": match('"' + " ".join(PHRASE2) + '"'),
     "phrase_3": match('"' + " ".join(PHRASE3) + '"'),
     "phrase_2_cells": cells('"' + " ".join(PHRASE2) + '"'),
     "strict_phrase": strict_phrase,
@@ -397,6 +419,8 @@ QUERIES = {
     "sentence_offsets": sentence_offsets,
     "sentence_map": sentence_map,
     "search": search,
+    "snippet": snippet,
+    "stream_index": stream_index,
     "xml_zones": xml_zones,
 }
 
@@ -454,4 +478,10 @@ SQL = {
     "highlight": f"WITH {_DOCS} SELECT doc_id, {_bold(f"regexp_replace(title, '\\b({WORD}|{OTHER})\\b', chr(27) || '[32m\\1' || chr(27) || '[39m', 'gi')")} AS title FROM docs",
     "format_result": f"WITH {_DOCS} SELECT doc_id, CAST(doc_id AS VARCHAR) || ' ' || {_bold("coalesce(title, '')")} || chr(10) || coalesce(abstract, '') AS text FROM docs",
 }
+SQL["doc_total_length"] = f"WITH {_DOCS}, {_ZONED}, {_LEN} SELECT doc_id, CAST(sum(len) AS BIGINT) AS len FROM doc_len GROUP BY doc_id"
+SQL["stream_index"] = SQL["term_freq"]
+# the exploded form of the phrase: positions joined one by one
+SQL["phrase_2_arrays"] = (
+    f"{BASE} SELECT DISTINCT a.doc_id FROM occ a JOIN occ b ON b.doc_id = a.doc_id AND b.ct = a.ct AND b.pos = a.pos + 1 WHERE a.token = '{PHRASE2[0]}' AND b.token = '{PHRASE2[1]}'"
+)
 SQL["doc_lookup"] = f"SELECT * FROM ({SQL['doc_map']}) m WHERE doc_id = {DOC}"
