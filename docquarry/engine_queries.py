@@ -89,11 +89,11 @@ def cells(text: str, options: Options = Options()):
 
 
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return index.occurrences(index.zone_tokens(docs(spark, d)))
+    return index.occurrences(index.zone_tokens(docs(spark, d))).drop("len")
 
 
 def stopword_filter(spark: SparkSession, d: str) -> DataFrame:
-    return index.occurrences(index.zone_tokens(docs(spark, d)), stops(spark, d))
+    return index.occurrences(index.zone_tokens(docs(spark, d)), stops(spark, d)).drop("len")
 
 
 def doc_length(spark: SparkSession, d: str) -> DataFrame:
@@ -101,13 +101,13 @@ def doc_length(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings_build(spark: SparkSession, d: str) -> DataFrame:
-    return tables(spark, d).postings.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
+    return tables(spark, d).postings.drop("len").withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))
 
 
 def postings_stored(spark: SparkSession, d: str) -> DataFrame:
     """The stored postings table brought to cells: repeated rows once, tokens trimmed and in lower case, nulls out."""
     occ = table(spark, d, "postings").select(F.lower(F.trim("token")).alias("token"), "doc_id", "ct", "pos").dropna().distinct()
-    return index.build_postings(occ).select("token", "doc_id", "ct", "tf")
+    return index.build_postings(occ.withColumn("len", F.lit(0))).select("token", "doc_id", "ct", "tf")
 
 
 def spell_correct(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,7 @@ def prf_rank(spark: SparkSession, d: str) -> DataFrame:
 
 def coord_level(spark: SparkSession, d: str) -> DataFrame:
     hits = compile_query(parse(f"{WORD} {OTHER} {RARE} {PREFIX}*", stops(spark, d)), stored(spark, d))
-    return ranking.coordination(hits.cells, TOP)
+    return ranking.coordination(ranking.matched(hits.cells), TOP)
 
 
 def highlight(spark: SparkSession, d: str) -> DataFrame:

@@ -45,20 +45,24 @@ def zone_tokens(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(zoned: DataFrame, stop_words: frozenset[str] = frozenset(), stem: bool = False) -> DataFrame:
-    """(token, doc_id, ct, pos): occurrences without stop words, which still count in the positions (from 0)."""
-    rows = zoned.select("doc_id", "ct", F.posexplode("tokens").alias("pos", "token"))
+    """(token, doc_id, ct, pos, len): occurrences without stop words, which still count in the positions (from 0) and in the
+    length of the zone."""
+    rows = zoned.select("doc_id", "ct", F.size("tokens").alias("len"), F.posexplode("tokens").alias("pos", "token"))
     if stop_words:
         rows = rows.filter(~F.col("token").isin(sorted(stop_words)))
     if stem:
         stems = rows.select("token").distinct().select("token", stem_column("token").alias("stem"))
-        rows = rows.join(stems, "token").filter("stem <> ''").select(F.col("stem").alias("token"), "doc_id", "ct", "pos")
-    return rows.select("token", "doc_id", "ct", "pos")
+        rows = rows.join(stems, "token").filter("stem <> ''").select(F.col("stem").alias("token"), "doc_id", "ct", "pos", "len")
+    return rows.select("token", "doc_id", "ct", "pos", "len")
 
 
 def build_postings(occ: DataFrame) -> DataFrame:
-    """(token, doc_id, ct, tf int, positions array<int>), positions ascending."""
-    got = occ.groupBy("token", "doc_id", "ct").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-    return got.select("token", "doc_id", "ct", F.size("positions").alias("tf"), "positions")
+    """(token, doc_id, ct, tf int, len int, positions array<int>), positions ascending.
+
+    The length of the zone is kept in each cell, so scoring joins no table of lengths.
+    """
+    got = occ.groupBy("token", "doc_id", "ct", "len").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    return got.select("token", "doc_id", "ct", F.size("positions").alias("tf"), "len", "positions")
 
 
 def build_doc_len(zoned: DataFrame) -> DataFrame:

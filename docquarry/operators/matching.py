@@ -1,6 +1,6 @@
 """Matching: the relation a query's parts yield, and its algebra.
 
-``Hits`` holds the matched cells (token, doc_id, ct, tf, positions), the documents matched by links, and what
+``Hits`` holds the matched cells (token, doc_id, ct, tf, len, positions), the documents matched by links, and what
 spelling changed. Everything is lazy; positions are read only by the plans that use them.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docquarry.operators.index import Index
 
-CELLS = ["token", "doc_id", "ct", "tf", "positions"]
+CELLS = ["token", "doc_id", "ct", "tf", "len", "positions"]
 
 
 @dataclass
