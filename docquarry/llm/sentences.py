@@ -14,6 +14,8 @@ text but white space lies in exactly one unit; positions count Unicode code poin
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from math import log
 
@@ -108,8 +110,8 @@ def script(ch: str) -> str:
 
 def latin_language(text: str) -> str:
     """The likeliest of the Latin-script languages, by its commonest words; the lang column is often wrong or null."""
-    words = [w.lower() for w in _WORD.findall(text)]
-    return max(_STOPS, key=lambda k: sum(w in _STOPS[k] for w in words))
+    words = Counter(_WORD.findall(text.lower()))
+    return max(_STOPS, key=lambda k: sum(words[w] for w in _STOPS[k]))
 
 
 def _closing(text: str, at: int, language: str) -> str:
@@ -134,7 +136,7 @@ def _closing(text: str, at: int, language: str) -> str:
         if lead[-1:] == "°" or lead[-1:].isdigit():
             return "maybe"  # a unit
         return "initial"
-    if any(word[k:] in NEVER for k in (0, *(k + 1 for k, c in enumerate(word) if c == "."))):
+    if word in NEVER or "." in word and any(word[k + 1 :] in NEVER for k, c in enumerate(word) if c == "."):
         return "never"
     if word in NUMBERED:
         return "numbered"
@@ -221,43 +223,50 @@ def _boundary(text: str, stop: int, after: int, end: int, language: str) -> floa
     return score
 
 
-def _depths(text: str) -> list[tuple[int, int, int, int, int]]:
-    """For each character and the end: marks opened less marks closed before it, by kind, and the straight quotes so far."""
-    round_ = square = low = angle = straight = 0
-    lowered = 0
-    out = []
-    for k, ch in enumerate(text):
-        out.append((round_, square, low, angle, straight))
-        if ch in "(（":
-            round_ += 1
-        elif ch in ")）":
-            round_ -= 1
-        elif ch in "[【［〔{":
-            square += 1
-        elif ch in "]】］〕}":
-            square -= 1
-        elif ch == "„":
-            low += 1
-            lowered += 1
-        elif ch == "“":
-            if lowered:
-                lowered -= 1
-                low -= 1
-            else:
+_MARKS = re.compile(r"[()（）\[\]【】［］〔〕{}„“”«»「」『』\"]")
+
+
+class _Depths:
+    """Marks opened less marks closed before a position, by kind, and the number of straight quotes: (round, square, low
+    quotes, angle, straight). Kept at the marks alone, of which a text has few."""
+
+    def __init__(self, text: str):
+        round_ = square = low = angle = straight = lowered = 0
+        self.at, self.values = [-1], [(0, 0, 0, 0, 0)]
+        for m in _MARKS.finditer(text):
+            k, ch = m.start(), m.group()
+            if ch in "(（":
+                round_ += 1
+            elif ch in ")）":
+                round_ -= 1
+            elif ch in "[【［〔{":
+                square += 1
+            elif ch in "]】］〕}":
+                square -= 1
+            elif ch == "„":
                 low += 1
-        elif ch == "”":
-            low -= 1
-        elif ch in "«「『":
-            angle += 1
-        elif ch in "»」』":
-            angle -= 1
-        elif ch == '"' and not (k and text[k - 1].isdigit()):
-            straight += 1
-    out.append((round_, square, low, angle, straight))
-    return out
+                lowered += 1
+            elif ch == "“":
+                low += -1 if lowered else 1
+                lowered = max(0, lowered - 1)
+            elif ch == "”":
+                low -= 1
+            elif ch in "«「『":
+                angle += 1
+            elif ch in "»」』":
+                angle -= 1
+            elif not (k and text[k - 1].isdigit()):
+                straight += 1
+            self.at.append(k)
+            self.values.append((round_, square, low, angle, straight))
+
+    def before(self, position: int) -> tuple[int, int, int, int, int]:
+        return self.values[bisect_left(self.at, position) - 1]
 
 
 def _balance(a: tuple, b: tuple) -> float:
+    if a == b:
+        return 0.0
     off = abs(b[0] - a[0]) + abs(b[1] - a[1]) + abs(b[2] - a[2]) + abs(b[3] - a[3]) + ((b[4] - a[4]) & 1)
     return UNBALANCED * off if off else 0.0
 
@@ -360,19 +369,20 @@ def _spans(text: str, language: str) -> list[tuple[int, int]]:
     scores.append(4.0)
     if len(ends) == 2:
         return [(0, len(text))]
-    depth = _depths(text)
+    depth = _Depths(text)
     starts = []
     for e in ends[:-1]:
         while e < len(text) and text[e].isspace():
             e += 1
         starts.append(e)
+    opened, closed = [depth.before(x) for x in starts], [depth.before(x) for x in ends]
     best, back = [0.0], [0]
     for j in range(1, len(ends)):
         top, arg = None, j - 1
         for i in range(j - 1, -1, -1):
             if j - i > MOST_PIECES and ends[j] - starts[i] > MOST_CHARS:
                 break
-            s = best[i] + scores[j] + _length(ends[j] - starts[i]) + _balance(depth[starts[i]], depth[ends[j]])
+            s = best[i] + scores[j] + _length(ends[j] - starts[i]) + _balance(opened[i], closed[j])
             if top is None or s > top:
                 top, arg = s, i
         best.append(top)
