@@ -42,7 +42,7 @@ CHUNK = 2048
 
 _SPACE = re.compile(r"\s+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_MULTIPLIERS = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
 
 
 def normal(text: str) -> str:
@@ -70,10 +70,12 @@ def runs(text: str) -> np.ndarray:
 
 
 def min_hashes(hashed: np.ndarray) -> np.ndarray:
-    low = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashed), CHUNK):
-        np.minimum(low, (hashed[at : at + CHUNK, None] * _MULTIPLIERS).min(axis=0), out=low)
-    return _mix(low)
+    """64 mixed bits of each of HASHES min-hashes; the minima are of 32-bit products, which the processor multiplies in parallel."""
+    short = (hashed >> np.uint64(32)).astype(np.uint32)
+    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(short), CHUNK):
+        np.minimum(low, (_MULTIPLIERS * short[at : at + CHUNK]).min(axis=1), out=low)
+    return _mix(low.astype(np.uint64) | np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32))
 
 
 def fingerprint(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
