@@ -78,21 +78,22 @@ def min_hashes(hashed: np.ndarray) -> np.ndarray:
     return _mix(low.astype(np.uint64) | np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def fingerprint(hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, the two words of the sketch) of a set of run hashes."""
-    m = min_hashes(hashed)
-    bits = (m & np.uint64(7)).astype(np.int64).reshape(SEGMENTS, PER_SEGMENT)
-    words = np.zeros(SEGMENTS, np.int64)
-    for k in range(PER_SEGMENT):
-        words = (words << 3 | bits[:, k]) if k else bits[:, 0] & 3
-    segment, index = golay.keys(words)
-    whole = (m >> np.uint64(8)).reshape(SEGMENTS, PER_SEGMENT)
+def fingerprints(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, offsets of each record's keys, the two words of each sketch) of records' min-hashes, a row each."""
+    n = len(m)
+    bits = (m & np.uint64(7)).astype(np.int64).reshape(n * SEGMENTS, PER_SEGMENT)
+    words = bits[:, 0] & 3
+    for k in range(1, PER_SEGMENT):
+        words = words << 3 | bits[:, k]
+    row, index = golay.keys(words)
+    whole = (m >> np.uint64(8)).reshape(n, SEGMENTS, PER_SEGMENT)
     seg = np.arange(SEGMENTS)
-    one, two = whole[(seg + 7) % SEGMENTS, 0], whole[(seg + 13) % SEGMENTS, 1]
+    one, two = whole[:, (seg + 7) % SEGMENTS, 0], whole[:, (seg + 13) % SEGMENTS, 1]
     both = _mix(one * _MIX ^ two) ^ (seg.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    keys = _mix(both[segment] ^ index.astype(np.uint64))
-    sketch = np.packbits((m[:128] >> np.uint64(4) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-    return keys.view(np.int64), sketch
+    keys = _mix(both.ravel()[row] ^ index.astype(np.uint64)).view(np.int64)
+    offsets = np.append(0, np.cumsum(np.bincount(row // SEGMENTS, minlength=n)))
+    sketch = np.packbits((m[:, :128] >> np.uint64(4) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+    return keys, offsets, sketch
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -116,10 +117,10 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            got = [fingerprint(runs(t)) for t in part.column(1).to_pylist()]
-            sketches = np.array([s for _, s in got], np.int64).reshape(-1, 2)
-            keys = pa.array([k for k, _ in got], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(sketches[:, 0]), pa.array(sketches[:, 1])], ["doc", "keys", "s0", "s1"])
+            m = np.array([min_hashes(runs(t)) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, HASHES)
+            keys, offsets, sketch = fingerprints(m)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc", "keys", "s0", "s1"])
 
 
 def _verified(threshold: float):
