@@ -1,28 +1,34 @@
 """Problem 5: near-duplicate records, by Golay-code fuzzy hashing.
 
 A record's text is the set of its runs of 8 characters. Its fingerprint is SEGMENTS words of 23 bits,
-each made of 3 bits (once 2) of 8 min-hashes of that set; edits of a text that keep most runs flip
-few bits. By the pigeonhole principle the flips cannot be many in every segment, and Golay decoding of
-a segment and of its neighbours gives codeword indices of which two words with few flips share one.
-An index alone has 12 bits, too coarse for a large collection, so a key joins it with two whole
-min-hashes of other segments. Records that share a key, and whose 128-bit sketches do not rule it
-out, are verified on their texts exactly.
+each made of the low bits of 4 min-hashes of that set; edits of a text that keep most runs flip few
+bits. A word is decoded to the indices of the Golay codewords nearest to it and to its neighbours:
+several keys, of which two words with few flips share one.
+
+One index has 12 bits, too coarse for a large collection, so segments are taken in groups of three and a key
+joins the indices of two neighbouring segments of a group. The flips of a pair at the similarity sought cannot
+be many in every group (pigeonhole): in some group one word of the two is nearly the same, and the
+other near enough to share an index. So of the two words of a key only one is taken with all its
+indices, the other with the nearest alone: about 10 keys for each of PAIRS pairs of segments, in place of 28.
+
+Records that share a key are compared by their sizes and sketches inside the join, and the rest is
+verified on the texts exactly. Keys held by one record leave before the join; a key held by more than BLOCK records is joined in
+pairs of blocks, so no task gets an unbounded group.
 
 Equal texts are one class throughout: only its representative takes part, so a group of copies of
 any size costs as much as one record.
 
-With SEGMENTS = 24 a pair at similarity 0.6 is found with probability 0.98, at 0.65 with 0.997 (simulated).
+Simulated, a pair at similarity 0.6 is found with probability 0.99, at 0.65 with 0.999.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.llm import golay
@@ -31,23 +37,29 @@ from docquarry.session import materialize
 RUN = 8
 LEAST_CHARS = 300
 SIMILARITY = 0.6
-SEGMENTS = 24
-PER_SEGMENT = 8
-HASHES = SEGMENTS * PER_SEGMENT
-#: Flipped bits of the 128-bit sketch that still allow the similarity: a pair at 0.6 flips 25.6 of them on average, with a
-#: deviation of 4.5; the bound is four deviations higher.
-SKETCH_FLIPS = 44
-#: Runs of a text that are hashed at once.
-CHUNK = 2048
-
-_SPACE = re.compile(r"\s+")
+SEGMENTS = 48
+#: Bits that a word takes of each of its min-hashes.
+BITS = (6, 6, 6, 5)
+HASHES = SEGMENTS * len(BITS)
+#: Pairs of segments whose indices make keys: two of each group of three.
+FIRST = np.array([k for k in range(SEGMENTS) if k % 3 < 2])
+PAIRS = len(FIRST)
+#: The sketch has two bits of each min-hash. A pair at the similarity sought flips 76.8 of them on average, with a deviation of 9.2;
+#: what flips more than five deviations more is not verified.
+SKETCH_WORDS, SKETCH_FLIPS = HASHES * 2 // 64, 123
+#: Records of a block, where a key is held by more.
+BLOCK = 1000
+#: Parts in which the first keys of classes with copies are joined.
+SALTS = 16
+
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_MULTIPLIERS = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 32, (HASHES, 1), dtype=np.uint32) | np.uint32(1)
+#: The base of a run's polynomial, and its square and fourth power.
+_POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, 1 << k, 1 << 64)) for k in range(RUN.bit_length() - 1)]
 
 
 def normal(text: str) -> str:
     """Lower case, every run of white space one blank, no blanks at the ends."""
-    return _SPACE.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().split())
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -57,43 +69,74 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def runs(text: str) -> np.ndarray:
-    """64-bit hashes of the distinct runs of RUN characters, sorted; none for a shorter text."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(points) - RUN + 1
-    if n <= 0:
+    """64-bit hashes of the distinct runs of RUN characters, sorted; none for a shorter text.
+
+    A run is a polynomial of its code points, put together from halves and mixed.
+    """
+    h = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(h) < RUN:
         return np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(RUN):
-        h = (h ^ points[k : k + n]) * _MIX
-        h ^= h >> np.uint64(32)
-    return np.unique(_mix(h))
+    for k, power in enumerate(_POWERS):
+        h = h[: -1 << k] * power + h[1 << k :]
+    h = np.sort(_mix(h))
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h[new]
+
+
+_EDGES = (np.arange(HASHES, dtype=np.uint64) * np.uint64((1 << 64) // HASHES)).astype(np.uint64)
+#: Where an empty bin takes its value from, attempt by attempt.
+_OTHERS = np.random.Generator(np.random.PCG64(23)).integers(0, HASHES, (HASHES, 64))
 
 
 def min_hashes(hashed: np.ndarray) -> np.ndarray:
-    """64 mixed bits of each of HASHES min-hashes; the minima are of 32-bit products, which the processor multiplies in parallel."""
-    short = (hashed >> np.uint64(32)).astype(np.uint32)
-    low = np.full(HASHES, np.iinfo(np.uint32).max, np.uint32)
-    for at in range(0, len(short), CHUNK):
-        np.minimum(low, (_MULTIPLIERS * short[at : at + CHUNK]).min(axis=1), out=low)
-    return _mix(low.astype(np.uint64) | np.arange(1, HASHES + 1, dtype=np.uint64) << np.uint64(32))
-
-
-def fingerprints(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(keys, offsets of each record's keys, the two words of each sketch) of records' min-hashes, a row each."""
-    n = len(m)
-    bits = (m & np.uint64(7)).astype(np.int64).reshape(n * SEGMENTS, PER_SEGMENT)
-    words = bits[:, 0] & 3
-    for k in range(1, PER_SEGMENT):
-        words = words << 3 | bits[:, k]
-    row, index = golay.keys(words)
-    whole = (m >> np.uint64(8)).reshape(n, SEGMENTS, PER_SEGMENT)
-    seg = np.arange(SEGMENTS)
-    one, two = whole[:, (seg + 7) % SEGMENTS, 0], whole[:, (seg + 13) % SEGMENTS, 1]
-    both = _mix(one * _MIX ^ two) ^ (seg.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    keys = _mix(both.ravel()[row] ^ index.astype(np.uint64)).view(np.int64)
-    offsets = np.append(0, np.cumsum(np.bincount(row // SEGMENTS, minlength=n)))
-    sketch = np.packbits((m[:, :128] >> np.uint64(4) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-    return keys, offsets, sketch
+    """64 mixed bits of each of HASHES min-hashes: the least hash of each of as many equal bins. An empty bin takes the value of
+    the first full one in an order of its own, so two sets of the same runs agree, and others as often as by their similarity."""
+    at = np.searchsorted(hashed, _EDGES)
+    ends = np.append(at[1:], len(hashed))
+    full = at < ends
+    low = hashed[np.minimum(at, len(hashed) - 1)]
+    empty = np.flatnonzero(~full)
+    if len(empty):
+        tries = full[_OTHERS[empty]]
+        tries[~tries.any(axis=1), 0] = True
+        low[empty] = low[_OTHERS[empty, tries.argmax(axis=1)]]
+    return _mix(low ^ np.arange(1, HASHES + 1, dtype=np.uint64) * _MIX)
+
+
+def words_of(m: np.ndarray) -> np.ndarray:
+    """The SEGMENTS words of 23 bits of records' min-hashes, a row each."""
+    part = m.reshape(len(m), SEGMENTS, len(BITS))
+    words = np.zeros(part.shape[:2], np.int32)
+    for k, bits in enumerate(BITS):
+        words = words << bits | (part[:, :, k] & np.uint64((1 << bits) - 1)).astype(np.int32)
+    return words
+
+
+def sketches(m: np.ndarray) -> np.ndarray:
+    """The SKETCH_WORDS words of the sketch of each row, of bits that the fingerprint does not use."""
+    bits = np.concatenate([(m >> np.uint64(k) & np.uint64(1)).astype(np.uint8) for k in (20, 21)], axis=1)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, 64-bit key) of the fingerprints of records, a row of words each: for every pair of segments the nearest indices of
+    both, and of either with the further ones of the other."""
+    n = len(words)
+    got = golay.nearest(words.astype(np.int64).reshape(-1, 1) ^ golay.FLIPS).reshape(n, SEGMENTS, -1)
+    near = got[:, :, 0]
+    further = np.sort(got, axis=2)
+    new = np.ones(further.shape, bool)
+    new[:, :, 1:] = further[:, :, 1:] != further[:, :, :-1]
+    new &= further != near[:, :, None]
+    x, y = near[:, FIRST], near[:, FIRST + 1]
+    tag = np.arange(PAIRS)[None, :] << 24
+    row, pair, k = np.nonzero(new[:, FIRST])
+    one = further[row, FIRST[pair], k] << 12 | y[row, pair] | pair << 24
+    row2, pair2, k2 = np.nonzero(new[:, FIRST + 1])
+    two = x[row2, pair2] << 12 | further[row2, FIRST[pair2] + 1, k2] | pair2 << 24
+    rows = np.concatenate([np.repeat(np.arange(n), PAIRS), row, row2])
+    return rows, np.concatenate([(tag | x << 12 | y).ravel(), one, two])
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -102,25 +145,50 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [normal(t) for t in batch.column(1).fill_null("").to_pylist()]
-        wide = np.array([len(t) >= LEAST_CHARS for t in texts], bool)
-        texts = pa.array(texts, pa.string()).filter(pa.array(wide))
-        digests = [hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts.to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).filter(pa.array(wide)), pa.array(digests, pa.binary()), texts], ["doc", "class", "text"]
-        )
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
+
+
+_PRINTS = "doc bigint, class binary, runs int, words binary, " + ", ".join(f"s{k} bigint" for k in range(SKETCH_WORDS))
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, number of runs, fingerprint and sketch of each row of LEAST_CHARS or more."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
             part = batch.slice(at, 512)
-            m = np.array([min_hashes(runs(t)) for t in part.column(1).to_pylist()], np.uint64).reshape(-1, HASHES)
-            keys, offsets, sketch = fingerprints(m)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(sketch[:, 0]), pa.array(sketch[:, 1])], ["doc", "keys", "s0", "s1"])
+            texts = [normal(t) if t else "" for t in part.column(1).to_pylist()]
+            wide = [k for k, t in enumerate(texts) if len(t) >= LEAST_CHARS]
+            sets = [runs(texts[k]) for k in wide]
+            m = np.array([min_hashes(s) for s in sets], np.uint64).reshape(-1, HASHES)
+            sketch = sketches(m)
+            columns = [
+                part.column(0).take(pa.array(wide, pa.int64())),
+                pa.array([_digest(texts[k]) for k in wide], pa.binary()),
+                pa.array([len(s) for s in sets], pa.int32()),
+                pa.array([w.tobytes() for w in words_of(m)], pa.binary()),
+                *(pa.array(sketch[:, k]) for k in range(SKETCH_WORDS)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _PRINTS.split(", ")])
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            words = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int32).reshape(-1, SEGMENTS)
+            row, k = keys(words)
+            yield pa.RecordBatch.from_arrays([pa.array(k), part.column(0).take(pa.array(row))], ["k", "doc"])
+
+
+def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, text) of rows (doc, text, class) whose normal text is that of the class."""
+    for batch in batches:
+        texts = [normal(t) if t else "" for t in batch.column(1).to_pylist()]
+        keep = [k for k, (t, c) in enumerate(zip(texts, batch.column(2).to_pylist())) if _digest(t) == c]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(keep, pa.int64())), pa.array([texts[k] for k in keep], pa.string())], ["doc", "text"]
+        )
 
 
 def _verified(threshold: float):
@@ -149,34 +217,47 @@ class NearDuplicates:
     """Near-duplicates of a table (key bigint, text): classes of equal texts and links between classes.
 
     Null keys and texts of fewer than LEAST_CHARS characters after normalising take no part. Rows of
-    one key must have one text; of several the least is taken. Tables: ``members`` (doc, class, first), first being the
-    least key of the class, and ``links`` (doc_a, doc_b, common, either) between first keys, doc_a < doc_b.
+    one key should have one text; of several the one with the least digest is taken. Tables: ``members`` (doc, class, first), first being the
+    least key of the class, and ``links`` (doc_a, doc_b, common, either) between first keys, doc_a < doc_b. A similarity below SIMILARITY
+    needs a fingerprint of its own.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, threshold: float = SIMILARITY):
         rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-        one = rows.groupBy("doc").agg(F.min("text").alias("text"))
-        docs = materialize(one.mapInArrow(_classes, "doc bigint, class binary, text string"), "texts")
-        first = docs.groupBy("class").agg(F.min("doc").alias("first"))
-        self.members = materialize(docs.select("doc", "class").join(first, "class"), "classes")
-        firsts = docs.join(self.members.filter("doc = first").select("doc"), "doc", "left_semi").select("doc", "text")
-        prints = materialize(firsts.mapInArrow(_fingerprints, "doc bigint, keys array<bigint>, s0 bigint, s1 bigint"), "fingerprints")
-        pairs = self._candidates(prints)
-        texts = docs.select("doc", "text")
-        told = pairs.join(texts.withColumnsRenamed({"doc": "doc_b", "text": "text_b"}), "doc_b").join(
+        prints = materialize(rows.mapInArrow(_fingerprints, _PRINTS), "fingerprints")
+        self.members = materialize(_members(prints), "classes")
+        firsts = self.members.filter("doc = first").select("doc", "class")
+        reps = materialize(prints.join(firsts, ["doc", "class"], "left_semi").dropDuplicates(["doc"]), "representatives")
+        self.candidates = materialize(self._candidates(reps, threshold), "candidates")
+        ends = self.candidates.select(F.explode(F.array("doc_a", "doc_b")).alias("doc")).distinct()
+        wanted = rows.join(ends.join(firsts, "doc"), "doc").select("doc", "text", "class")
+        texts = wanted.mapInArrow(_of_class, "doc bigint, text string").groupBy("doc").agg(F.first("text").alias("text"))
+        texts = materialize(texts, "texts")
+        told = self.candidates.join(texts.withColumnsRenamed({"doc": "doc_b", "text": "text_b"}), "doc_b").join(
             texts.withColumnsRenamed({"doc": "doc_a", "text": "text_a"}), "doc_a"
         )
         schema = "doc_a bigint, doc_b bigint, common int, either int"
         self.links = materialize(told.select("doc_a", "text_a", "doc_b", "text_b").mapInArrow(_verified(threshold), schema), "links")
 
     @staticmethod
-    def _candidates(prints: DataFrame) -> DataFrame:
-        """Pairs with a common key whose sketches allow the similarity; the sketches are compared inside the join."""
-        side = prints.select("doc", "s0", "s1", F.explode("keys").alias("k"))
-        a, b = side.alias("a"), side.alias("b")
-        flips = F.expr("bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)")
-        on = (F.col("a.k") == F.col("b.k")) & (F.col("a.doc") < F.col("b.doc")) & (flips <= SKETCH_FLIPS)
-        return a.join(b, on).select(F.col("a.doc").alias("doc_a"), F.col("b.doc").alias("doc_b")).distinct()
+    def _candidates(reps: DataFrame, threshold: float) -> DataFrame:
+        """(doc_a, doc_b) with a common key whose sizes and sketches allow the similarity; both are compared inside the join."""
+        every = reps.select("doc", "words").mapInArrow(_keys, "k bigint, doc bigint")
+        held = every.withColumn("n", F.count("*").over(Window.partitionBy("k"))).filter("n > 1")
+        looks = ["runs", *(f"s{k}" for k in range(SKETCH_WORDS))]
+        shared = materialize(held.join(reps.select("doc", *looks), "doc"), "shared-keys")
+        a, b = F.col("a.doc"), F.col("b.doc")
+        flips = sum((F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) for k in range(1, SKETCH_WORDS)), F.bit_count(F.col("a.s0").bitwiseXOR(F.col("b.s0"))))
+        alike = (F.least("a.runs", "b.runs") >= threshold * F.greatest("a.runs", "b.runs") - 1e-9) & (flips <= SKETCH_FLIPS)
+        few = shared.filter(F.col("n") <= BLOCK)
+        pairs = few.alias("a").join(few.alias("b"), (F.col("a.k") == F.col("b.k")) & (a < b) & alike).select(a.alias("doc_a"), b.alias("doc_b"))
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        many = shared.filter(F.col("n") > BLOCK).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        left = many.withColumn("x", F.col("block")).withColumn("y", F.explode(F.expr("sequence(block, blocks - 1)")))
+        right = many.withColumn("y", F.col("block")).withColumn("x", F.explode(F.expr("sequence(0, block)")))
+        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("k", "x", "y")]
+        cells = left.alias("a").join(right.alias("b"), on[0] & on[1] & on[2] & ((F.col("a.x") < F.col("a.y")) | (a < b)) & alike)
+        return pairs.unionByName(cells.select(F.least(a, b).alias("doc_a"), F.greatest(a, b).alias("doc_b"))).distinct()
 
     def pairs(self) -> DataFrame:
         """(doc_a, doc_b) of all similar records, doc_a < doc_b, links between classes and copies expanded."""
@@ -200,6 +281,16 @@ class NearDuplicates:
         )
 
 
+
+def _members(prints: DataFrame) -> DataFrame:
+    """(doc, class, first) of fingerprinted rows. The least key of a class is joined in parts, for a class may hold a third of all rows."""
+    docs = prints.groupBy("doc").agg(F.min("class").alias("class"))
+    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")
+    copied = docs.groupBy("class").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    copied = copied.select("class", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return docs.withColumn("salt", salt).join(copied, ["class", "salt"], "left").select("doc", "class", F.coalesce("first", "doc").alias("first"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of the connected component of each node, by alternating large and small stars.
 

@@ -78,6 +78,53 @@ def test_pairs_and_groups(spark):
     assert len(copies) >= 19
 
 
+def sets_at(rng, n, similarity):
+    """Two sets of n hashes each with the given share in common."""
+    c = round(2 * n * similarity / (1 + similarity))
+    pool = rng.integers(0, 1 << 63, 2 * n - c).astype(np.uint64)
+    return np.sort(pool[:n]), np.sort(pool[n - c :])
+
+
+def test_recall_at_the_threshold():
+    """Of pairs at similarity 0.60 to 0.65, for short and usual texts, at least 0.95 share a key and pass the sketch."""
+    rng = np.random.default_rng(8)
+    for n in (260, 1100):
+        sides = [sets_at(rng, n, rng.uniform(0.6, 0.65)) for _ in range(400)]
+        assert all(i >= 0.599 * u for i, u in (N.similarity(a, b) for a, b in sides))
+        m = np.array([[N.min_hashes(s) for s in pair] for pair in sides])
+        found = 0
+        for one, two in m:
+            a, b = (set(N.keys(N.words_of(x[None]))[1].tolist()) for x in (one, two))
+            x, y = N.sketches(one[None])[0], N.sketches(two[None])[0]
+            found += bool(a & b) and sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)) <= N.SKETCH_FLIPS
+        assert found >= 0.95 * len(sides)
+
+
+def test_unlike_records_rarely_meet():
+    rng = np.random.default_rng(9)
+    m = np.array([N.min_hashes(np.sort(rng.integers(0, 1 << 63, 800).astype(np.uint64))) for _ in range(1500)])
+    row, key = N.keys(N.words_of(m))
+    _, n = np.unique(key, return_counts=True)
+    pairs = int((n * (n - 1) // 2).sum())
+    assert pairs <= 2e-3 * 1500 * 1499 / 2
+
+
+def test_hot_keys_are_joined_in_blocks(spark, monkeypatch):
+    """Texts that share most of their keys, with blocks of three records: the pairs are those of one block."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(3, 8))) for _ in range(300)]
+    base = rng.choices(words, k=90)
+    docs = []
+    for k in range(14):
+        text = list(base)
+        text[rng.randrange(90)] = words[k]
+        docs.append((k, " ".join(text)))
+    df = spark.createDataFrame(docs, "id long, body string")
+    whole = sorted(map(tuple, N.NearDuplicates(df, "id", "body").pairs().collect()))
+    monkeypatch.setattr(N, "BLOCK", 3)
+    assert sorted(map(tuple, N.NearDuplicates(df, "id", "body").pairs().collect())) == whole == sorted(brute(docs))
+
+
 def test_empty_table(spark):
     near = N.NearDuplicates(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert near.pairs().count() == 0 and near.groups().count() == 0
