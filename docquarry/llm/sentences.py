@@ -1,11 +1,13 @@
 """Problem 4: sentence boundaries across languages and scripts, by a semi-Markov dynamic program.
 
-Places where a sentence could end (after a run of terminators and its closing marks, at line breaks,
-at blanks in Thai) cut a text into pieces. The program chooses whole spans of pieces and maximises
+Places where a sentence could end (after a run of terminators and its closing marks, at line breaks, headings and blank
+lines, at blanks in Thai) are candidates with a score each. The program chooses whole spans between candidates and maximises
 the sum of their scores; a span's score joins its length, its opening word, its closing word and
-the balance of its quotation marks and brackets, so that a full stop inside a quotation loses even
-where the words around it look like an end. Blank lines and headings on their own lines end a span
-always and divide the work, which is therefore linear in the text.
+the balance of its quotation marks and brackets: marks are matched first, and a span that begins or ends between a mark
+and its partner loses more for either end than any end gains, so a quotation of any number of sentences stays whole.
+
+The program looks at every span. Beyond FAR characters the score of the length is constant, so for those spans the best
+beginning is a running maximum; nearer ones are tried until none can be better. The work is linear in the text.
 
 Defined results: null, empty and blank zones give no rows; a text without terminators is one unit; all
 text but white space lies in exactly one unit; positions count Unicode code points.
@@ -14,10 +16,11 @@ text but white space lies in exactly one unit; positions count Unicode code poin
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from math import log
+from itertools import accumulate
+from math import inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -114,19 +117,39 @@ def latin_language(text: str) -> str:
     return max(_STOPS, key=lambda k: sum(words[w] for w in _STOPS[k]))
 
 
-def _closing(text: str, at: int, language: str) -> str:
-    """The class of the closing word before the terminators at position at: strong, maybe, never, initial or ordinal."""
+_GERMAN = re.compile(rf"\b(?:{'|'.join(sorted(_STOPS['de']))})\b", re.I)
+
+
+class _Language:
+    """The likeliest Latin-script language of a text, found when first asked for: few texts need it."""
+
+    def __init__(self, text: str):
+        self.text, self.name = text, ""
+
+    def is_german(self) -> bool:
+        if not self.name:
+            self.name = latin_language(self.text) if _GERMAN.search(self.text) else "other"
+        return self.name == "de"
+
+
+#: No word of the lists is longer than this.
+LONGEST = 24
+
+
+def _closing(text: str, begin: int, at: int, language: _Language) -> str:
+    """The class of the closing word before the terminators at position at of the part from begin: strong, maybe, never, initial or
+    ordinal."""
     if text[at] not in ".．":
         return "weak" if text[at] == "…" else "strong"
-    if text[at : at + 2] == ".." or (at and text[at - 1] in " \n"):
+    if text[at : at + 2] == ".." or (at > begin and text[at - 1] in " \n"):
         return "weak"  # suspension points
-    before = text[max(0, at - 24) : at]
-    m = _LAST_WORD.search(before)
+    before = text[max(begin, at - LONGEST) : at]
+    m = _LAST_WORD.search(before, max(before.rfind(" "), before.rfind("\n")) + 1)
     if not m:
         return "strong"
     word = m.group().lower()
     if word[-1].isdigit():
-        if language == "de" and word.isdigit() and len(word) <= 2:
+        if word.isdigit() and len(word) <= 2 and language.is_german():
             lead = _LAST_WORD.search(before[: m.start()].rstrip(" \n."))
             if not lead or lead.group().lower() not in ("nr", "abb", "fig", "kap", "nummer"):
                 return "ordinal"
@@ -179,16 +202,20 @@ BOUNDARY = {
     ("ordinal", "upper"): -4.0, ("ordinal", "digit"): 1.0, ("ordinal", "mixed"): 1.0, ("ordinal", "caseless"): 1.0, ("ordinal", "lower"): -8.0, ("ordinal", "mark"): -4.0,
     ("weak", "upper"): 1.5, ("weak", "digit"): -2.0, ("weak", "mixed"): -2.0, ("weak", "caseless"): -3.0, ("weak", "lower"): -8.0, ("weak", "mark"): -4.0,
 }
+#: The score of each end of a span that lies between a mark and its partner, per pair. Two of them, as every end is also a beginning,
+#: outweigh the best boundary and length.
 UNBALANCED = -6.0
 LENGTH_WEIGHT = 0.12
 USUAL_LENGTH = 70.0
-#: Spans are tried back to this many pieces and characters, whichever reaches farther.
-MOST_PIECES, MOST_CHARS = 24, 1500
+#: Spans of this many characters or more score alike by their length.
+FAR = 1500
+#: The score of ends that are certain (blank lines, headings, lines of a text without hard wraps), and of blanks that end a Thai sentence.
+CERTAIN, THAI = 40.0, 12.0
 
 
-def _boundary(text: str, stop: int, after: int, end: int, language: str) -> float:
-    """The score of an end whose terminators begin at stop and whose closing marks end at after."""
-    how = _closing(text, stop, language)
+def _boundary(text: str, begin: int, stop: int, after: int, end: int, language: _Language) -> float:
+    """The score of an end, in the part from begin to end, whose terminators begin at stop and whose closing marks end at after."""
+    how = _closing(text, begin, stop, language)
     if how in ("never", "initial"):
         return -9.0
     kind, word = _opening(text, after, end)
@@ -215,66 +242,69 @@ def _boundary(text: str, stop: int, after: int, end: int, language: str) -> floa
         return 3.0
     score = BOUNDARY[how, kind]
     if not spaced:  # paragraphs put together without a separator
-        letter = text[after - 1] in TERMINATORS and stop and text[stop - 1].isalpha() and script(text[stop - 1]) in ("Latn", "Cyrl")
-        if kind == "digit" and text[stop] in ".．" and (not stop or text[stop - 1].isdigit() or not closed):
-            return -9.0 if text[stop - 1 : stop].isdigit() or letter else score
+        last = text[stop - 1] if stop > begin else ""
+        letter = text[after - 1] in TERMINATORS and last.isalpha() and script(last) in ("Latn", "Cyrl")
+        if kind == "digit" and text[stop] in ".．" and (not last or last.isdigit() or not closed):
+            return -9.0 if last.isdigit() or letter else score
         if kind in ("lower", "mixed"):
             return -9.0 if kind == "lower" else score - 2.0
     return score
 
 
 _MARKS = re.compile(r"[()（）\[\]【】［］〔〕{}„“”«»「」『』\"]")
+#: Kinds of marks: an opening mark's kind, and the kinds a closing mark may close.
+_OPENING = {"(": "()", "（": "()", "[": "[]", "【": "[]", "［": "[]", "〔": "[]", "{": "[]", "„": "„", "“": "“", "«": "«", "「": "「", "『": "『"}
+_CLOSING = {")": ("()",), "）": ("()",), "]": ("[]",), "】": ("[]",), "］": ("[]",), "〕": ("[]",), "}": ("[]",), "”": ("“", "„"), "»": ("«",), "」": ("「",), "』": ("『",)}
 
 
-class _Depths:
-    """Marks opened less marks closed before a position, by kind, and the number of straight quotes: (round, square, low
-    quotes, angle, straight). Kept at the marks alone, of which a text has few."""
+def _straight(text: str, k: int, a: int, b: int, is_open: bool) -> bool:
+    """Whether the straight quotation mark at k opens: by the blanks beside it, and in turn where they say nothing."""
+    before, after = text[k - 1] if k > a else " ", text[k + 1] if k + 1 < b else " "
+    outer, inner = before.isspace() or before in OPENERS, after.isspace() or not (after.isalnum() or after in OPENERS)
+    if outer != inner:
+        return outer
+    return not is_open
 
-    def __init__(self, text: str):
-        round_ = square = low = angle = straight = lowered = 0
-        self.at, self.values = [-1], [(0, 0, 0, 0, 0)]
-        for m in _MARKS.finditer(text):
-            k, ch = m.start(), m.group()
-            if ch in "(（":
-                round_ += 1
-            elif ch in ")）":
-                round_ -= 1
-            elif ch in "[【［〔{":
-                square += 1
-            elif ch in "]】］〕}":
-                square -= 1
-            elif ch == "„":
-                low += 1
-                lowered += 1
-            elif ch == "“":
-                low += -1 if lowered else 1
-                lowered = max(0, lowered - 1)
-            elif ch == "”":
-                low -= 1
-            elif ch in "«「『":
-                angle += 1
-            elif ch in "»」』":
-                angle -= 1
-            elif not (k and text[k - 1].isdigit()):
-                straight += 1
-            self.at.append(k)
-            self.values.append((round_, square, low, angle, straight))
-
-    def before(self, position: int) -> tuple[int, int, int, int, int]:
-        return self.values[bisect_left(self.at, position) - 1]
-
-
-def _balance(a: tuple, b: tuple) -> float:
-    if a == b:
-        return 0.0
-    off = abs(b[0] - a[0]) + abs(b[1] - a[1]) + abs(b[2] - a[2]) + abs(b[3] - a[3]) + ((b[4] - a[4]) & 1)
-    return UNBALANCED * off if off else 0.0
+
+def _depths(text: str, a: int, b: int) -> tuple[list[int], list[int]]:
+    """(places, depths): the number of matched pairs of marks that are open from each place in a part on, up to the next.
+
+    A mark without a partner opens nothing; an opening quotation mark of a kind that is open already takes the former's place.
+    """
+    pairs, held = [], {}
+    for m in _MARKS.finditer(text, a, b):
+        k, ch = m.start(), m.group()
+        if ch == "\"":
+            stack = held.setdefault(ch, [])
+            if k > a and text[k - 1].isdigit() and not stack:
+                continue  # inches
+            if _straight(text, k, a, b, bool(stack)):
+                held[ch] = [k]
+            elif stack:
+                pairs.append((stack.pop(), k))
+        elif ch in _OPENING and not (ch == "“" and held.get("„")):
+            stack = held.setdefault(_OPENING[ch], [])
+            if ch in "„“":
+                stack.clear()
+            stack.append(k)
+        else:
+            for kind in ("„",) if ch == "“" else _CLOSING[ch]:
+                if held.get(kind):
+                    pairs.append((held[kind].pop(), k))
+                    break
+    if not pairs:
+        return [], []
+    changes = sorted([(k + 1, 1) for k, _ in pairs] + [(k + 1, -1) for _, k in pairs])
+    return [k for k, _ in changes], list(accumulate(d for _, d in changes))
 
 
 def _length(n: int) -> float:
     return -LENGTH_WEIGHT * log(max(n, 1) / USUAL_LENGTH) ** 2 - (3.0 if n < 3 else 0.0)
 
 
+_LENGTHS = [_length(n) for n in range(FAR + 1)]
+
+
 def _heading(line: str, following: str) -> bool:
     """A short line of its own without a terminator, before a line that opens anew."""
     line = line.strip()
@@ -323,22 +353,34 @@ def _parts(text: str) -> Iterator[tuple[int, int]]:
                 begin = lines[k + 1][0]
 
 
-def _thai(text: str, a: int, b: int) -> Iterator[tuple[int, int]]:
+def _thai(text: str, a: int, b: int) -> Iterator[tuple[int, float]]:
     """Thai: a blank ends a sentence unless a numeral, a Latin letter or a period adjoins it."""
-    at = a
     for m in _SPACE.finditer(text, a, b):
-        left, right = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-        stays = [c for c in (left, right) if c and (c.isdigit() or c == "." or c.isascii() and c.isalpha())]
-        if not stays and left and right:
-            yield at, m.start()
-            at = m.end()
-    yield at, b
+        beside = text[m.start() - 1], text[m.end()]
+        if not any(c.isdigit() or c == "." or c.isascii() and c.isalpha() for c in beside):
+            yield m.start(), THAI
+
+
+def _stops(text: str, a: int, b: int, language: _Language) -> Iterator[tuple[int, float]]:
+    """(end, score) of the terminators in a part after which a sentence could end."""
+    last = a
+    for m in _END.finditer(text, a, b):
+        if m.end() >= b:
+            break
+        s = _boundary(text, a, m.start(), m.end(), b, language)
+        if s > -9.0 and not (text[m.end() - 1] == "]" and _NUMBERED.search(text, last, m.end())):
+            last = m.end()
+            yield last, s
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, in order, without white space at their ends."""
-    out: list[tuple[int, int]] = []
-    language = latin_language(text)
+    language = _Language(text)
+    starts: list[int] = []
+    ends: list[int] = []
+    scores: list[float] = []
+    depths: list[int] = []
+    has_thai = _THAI.search(text) is not None
     for a, b in _parts(text):
         while a < b and text[a].isspace():
             a += 1
@@ -346,51 +388,54 @@ def sentences(text: str) -> list[tuple[int, int]]:
             b -= 1
         if a == b:
             continue
-        part = text[a:b]
-        thai = len(_THAI.findall(part))
-        if thai and thai * 3 > sum(c.isalpha() for c in part):
-            out.extend((x, y) for x, y in _thai(text, a, b) if x < y)
-            continue
-        out.extend((a + x, a + y) for x, y in _spans(part, language))
-    return out
-
-
-def _spans(text: str, language: str) -> list[tuple[int, int]]:
-    """The best division of a part into spans."""
-    ends, scores = [0], [0.0]
-    for m in _END.finditer(text):
-        if m.end() >= len(text):
-            break
-        s = _boundary(text, m.start(), m.end(), len(text), language)
-        if s > -9.0 and not _NUMBERED.search(text, ends[-1], m.end()):
-            ends.append(m.end())
-            scores.append(s)
-    ends.append(len(text))
-    scores.append(4.0)
-    if len(ends) == 2:
-        return [(0, len(text))]
-    depth = _Depths(text)
-    starts = []
-    for e in ends[:-1]:
-        while e < len(text) and text[e].isspace():
-            e += 1
-        starts.append(e)
-    opened, closed = [depth.before(x) for x in starts], [depth.before(x) for x in ends]
-    best, back = [0.0], [0]
-    for j in range(1, len(ends)):
-        top, arg = None, j - 1
-        for i in range(j - 1, -1, -1):
-            if j - i > MOST_PIECES and ends[j] - starts[i] > MOST_CHARS:
+        starts.append(a)
+        thai = has_thai and len(_THAI.findall(text, a, b)) * 3 > sum(c.isalpha() for c in text[a:b])
+        found = list(_thai(text, a, b) if thai else _stops(text, a, b, language))
+        places, open_ = _depths(text, a, b) if found and not thai else ([], [])
+        for end, score in found:
+            ends.append(end)
+            scores.append(score)
+            k = bisect_right(places, end) - 1 if places else -1
+            depths.append(open_[k] if k >= 0 else 0)
+            while text[end].isspace():
+                end += 1
+            starts.append(end)
+        ends.append(b)
+        scores.append(CERTAIN)
+        depths.append(0)
+    return _best_spans(starts, ends, scores, depths)
+
+
+def _best_spans(starts: list[int], ends: list[int], scores: list[float], depths: list[int]) -> list[tuple[int, int]]:
+    """The division into spans with the greatest sum of scores. starts[k] begins after the k-th end, ends[k] closes the span or goes on."""
+    n = len(ends)
+    begun, most, back = [0.0] * n, [0.0] * n, [0] * n  # best sum before a span at starts[k]; the most of these up to k; its first start
+    far, far_at, near = -inf, 0, 0
+    for j in range(n):
+        end = ends[j]
+        while near < j and starts[near] <= end - FAR:
+            if begun[near] > far:
+                far, far_at = begun[near], near
+            near += 1
+        top, at, i = -inf, j, j
+        while True:
+            s = begun[i] + _LENGTHS[min(end - starts[i], FAR)]
+            if s > top:
+                top, at = s, i
+            i -= 1
+            if i < near or most[i] <= top:
                 break
-            s = best[i] + scores[j] + _length(ends[j] - starts[i]) + _balance(opened[i], closed[j])
-            if top is None or s > top:
-                top, arg = s, i
-        best.append(top)
-        back.append(arg)
-    out, j = [], len(ends) - 1
-    while j:
+        if far + _LENGTHS[FAR] > top:
+            top, at = far + _LENGTHS[FAR], far_at
+        back[j] = at
+        if j + 1 < n:
+            # the end and the beginning after it lie at the same depth
+            begun[j + 1] = top + scores[j] + 2 * UNBALANCED * depths[j]
+            most[j + 1] = max(most[j], begun[j + 1])
+    out, j = [], n - 1
+    while j >= 0:
         out.append((starts[back[j]], ends[j]))
-        j = back[j]
+        j = back[j] - 1
     return out[::-1]
 
 

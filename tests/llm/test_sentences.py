@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from docquarry.llm import sentences as S
 from docquarry.llm.sentences import sentences, split
 
 CASES = [
@@ -55,6 +56,49 @@ def test_lines():
     assert units("No end at all") == ["No end at all"] and units(" \n\t ") == [] and units("") == []
 
 
+@pytest.mark.parametrize("marks", ['""', "“”", "„“", "()", "«»", "[]", "「」"])
+def test_quotations_of_any_number_of_sentences_stay_whole(marks):
+    for n in (1, 2, 3, 4, 8, 20, 50):
+        first = f"The manual reads {marks[0]}{' '.join(['Close the valve now.'] * n)}{marks[1]} and then stops."
+        assert units(f"{first} The valve closes.") == [first, "The valve closes."]
+
+
+def test_stray_marks_join_nothing():
+    assert units('A 5" pipe holds. A 6" one (too. It is "so. Go on. The end is near.') == ['A 5" pipe holds.', 'A 6" one (too.', 'It is "so.', "Go on.", "The end is near."]
+
+
+def test_long_sentence_stays_whole():
+    long = "The body " + "of 5 mm. of steel etc. and of 6 cm. or " * 200 + "ends."
+    assert units(f"A first one. {long} A last one.") == ["A first one.", long, "A last one."]
+
+
+def brute_spans(starts, ends, scores, depths):
+    """The best sum over every division, each span tried."""
+    n, best = len(ends), [0.0]
+    for j in range(n):
+        tops = [best[i] + S._LENGTHS[min(ends[j] - starts[i], S.FAR)] + (S.UNBALANCED * depths[i - 1] if i else 0) for i in range(j + 1)]
+        best.append(max(tops) + scores[j] + (S.UNBALANCED * depths[j] if j + 1 < n else 0))
+    return best[-1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 900), st.sampled_from([-8.0, -4.0, -3.0, -2.0, 0.5, 1.5, 4.0, 40.0]), st.integers(0, 2)), min_size=1, max_size=14))
+def test_program_equals_every_division(pieces):
+    starts, ends, at = [], [], 0
+    for n, _, _ in pieces:
+        starts.append(at)
+        ends.append(at + n)
+        at += n + 1
+    scores, depths = [s for _, s, _ in pieces], [d for _, _, d in pieces]
+    got = S._best_spans(starts, ends, scores, depths)
+    assert [a for a, _ in got] == [0, *(b + 1 for _, b in got[:-1])] and got[-1][1] == ends[-1]
+    total = 0.0
+    for a, b in got:
+        i, j = starts.index(a), ends.index(b)
+        total += S._LENGTHS[min(b - a, S.FAR)] + scores[j] + (S.UNBALANCED * depths[i - 1] if i else 0) + (S.UNBALANCED * depths[j] if j + 1 < len(ends) else 0)
+    assert abs(total - brute_spans(starts, ends, scores, depths)) < 1e-9
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("aB. !?\n\"“”()1。いท ", max_size=60))
 def test_all_text_is_covered(text):
