@@ -27,9 +27,18 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_scratch: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written intermediate table of this application."""
-    return f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A fresh path for a written intermediate table of this application; all of them are deleted when the application ends."""
+    top = f"{shared_dir(spark)}/docquarry-{spark.sparkContext.applicationId}"
+    if top not in _scratch:
+        fs, p = _file_system(spark, top)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _scratch.add(top)
+    return f"{top}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,11 +49,45 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    """Deletes a path of the shared folder through the Hadoop file system it lives in."""
+def _file_system(spark: SparkSession, path: str):
+    """(the Hadoop file system a path lives in, the path)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(conf).delete(p, True)
+    return p.getFileSystem(conf), p
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Deletes a path of the shared folder."""
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder of the shared folder, sorted; none if there is no such folder."""
+    fs, p = _file_system(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole: readers see all of it or none."""
+    fs, p = _file_system(spark, path)
+    _, part = _file_system(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(part, p):
+        fs.delete(part, False)
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file."""
+    fs, p = _file_system(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
