@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docquarry.functions.text import tokens, tokens_sql
 from docquarry.llm import distinctive, encoding, packing, sentences, spampages
-from docquarry.llm.frequencies import CountStore
+from docquarry.llm.frequencies import CountStore, arrivals
 from docquarry.llm.neardup import NearDuplicates
 from docquarry.session import table
 
@@ -25,9 +25,15 @@ def posting_token() -> Column:
 
 
 def _loaded(spark: SparkSession, d: str) -> CountStore:
+    """Both fields in two steps: what was there by the end of 2013, then the rows that came since, merged as signed deltas."""
     store = CountStore(spark)
-    store.apply("postings.token", None, table(spark, d, "postings"), "doc_id", ["token"], posting_token())
-    store.apply("patents.contents", None, table(spark, d, "patents"), "doc_id", ZONES, zone_tokens())
+    for field, name, at, terms in (
+        ("postings.token", "postings", "indexed_at", posting_token()),
+        ("patents.contents", "patents", "loaded_at", zone_tokens()),
+    ):
+        rows, early = table(spark, d, name), F.coalesce(F.col(at) < "2014-01-01", F.lit(False))
+        store.load(field, rows.filter(early), "doc_id", terms)
+        store.apply(field, arrivals(rows.filter(early), rows.filter(~early), "doc_id"), "doc_id", terms)
     return store
 
 
@@ -36,17 +42,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Counts after an incremental step: first what was there by the end of 2013, then the changes since."""
-    store = CountStore(spark)
-    for field, name, at, content, terms in (
-        ("postings.token", "postings", "indexed_at", ["token"], posting_token()),
-        ("patents.contents", "patents", "loaded_at", ZONES, zone_tokens()),
-    ):
-        now = table(spark, d, name)
-        then = now.filter(F.col(at) < "2014-01-01")
-        store.apply(field, None, then, "doc_id", content, terms)
-        store.apply(field, then, now, "doc_id", content, terms)
-    return store.marked().withColumnsRenamed({"term": "token", "records": "n_docs"})
+    return _loaded(spark, d).marked().withColumnsRenamed({"term": "token", "records": "n_docs"})
 
 
 def _scores(spark: SparkSession, d: str) -> DataFrame:

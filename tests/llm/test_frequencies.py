@@ -34,10 +34,11 @@ def test_deltas_follow_changes(spark):
     before = None
     for v in versions:
         now = spark.createDataFrame(v, "doc long, text string").withColumns({"term": F.lit("clash"), "key": F.lit(0)})
-        store.apply("f", before, now, "doc", ["text"], tokens("text"))
+        store.apply("f", [(now, 1)] if before is None else Q.snapshot_changes(before, now, "doc", ["text"]), "doc", tokens("text"))
+        store = Q.CountStore(spark, store.path)  # opened anew, as by a later application
         got = {r["term"]: (r["occurrences"], r["records"]) for r in store.counts("f").collect()}
         assert got == counted(v)
-        assert store.records["f"] == len({k for k, _ in v if k is not None})
+        assert store.records("f") == len({k for k, _ in v if k is not None})
         before = now
 
 
@@ -45,14 +46,34 @@ def test_only_changes_are_aggregated(spark):
     a = spark.createDataFrame([(1, "x y"), (2, "y z"), (2, "q")], "doc long, text string")
     b = spark.createDataFrame([(2, "q"), (2, "y z"), (3, "y y")], "doc long, text string")
     assert sorted(r["key"] for r in Q.changed_keys(a, b, "doc", ["text"]).collect()) == [1, 3]
-    same = Q.signed_deltas(a, a, "doc", ["text"], tokens("text"))
+    same = Q.signed_deltas(Q.snapshot_changes(a, a, "doc", ["text"]), "doc", tokens("text"))
     assert same.count() == 0
 
 
+def test_arrivals_and_untouched_partitions(spark):
+    """Rows that arrive for records already there; only partitions with a changed term are written again, and old ones go."""
+    there = spark.createDataFrame([(1, "aa bb"), (1, "aa"), (2, "cc"), (None, "aa")], "doc long, text string")
+    come = spark.createDataFrame([(1, "aa dd"), (3, "aa"), (3, None), (4, "")], "doc long, text string")
+    store = Q.CountStore(spark, buckets=64)
+    store.load("f", there, "doc", tokens("text"))
+    first = store.manifest("f")["parts"]
+    store.apply("f", Q.arrivals(there, come, "doc"), "doc", tokens("text"))
+    got = {r["term"]: (r["occurrences"], r["records"]) for r in store.counts("f").collect()}
+    assert got == {"aa": (4, 2), "bb": (1, 1), "cc": (1, 1), "dd": (1, 1)} and store.records("f") == 4
+    second = store.manifest("f")
+    assert sum(v == 0 for v in second["parts"].values()) >= 2 and len(second["parts"]) >= len(first)
+    store.apply("f", [(come.filter("doc = 3"), -1)], "doc", tokens("text"))
+    store.apply("f", [(come.filter("doc = 4"), -1)], "doc", tokens("text"))
+    assert store.records("f") == 2 and {r["term"]: r["occurrences"] for r in store.counts("f").collect()}["aa"] == 3
+    from docquarry.session import list_path
+
+    assert len(list_path(spark, f"{store.path}/f/manifests")) == Q.KEPT and store.fields() == ["f"]
+
+
 def test_bands(spark):
     rows = [(d, "aa") for d in range(10)] + [(1, "bb"), (1, "bb"), (2, "bb"), *((d, "cc") for d in range(3)), *((d, "dd") for d in range(4)), (None, "ee")]
     store = Q.CountStore(spark)
-    store.apply("f", None, spark.createDataFrame(rows, "doc long, t string"), "doc", ["t"], F.array("t"))
+    store.load("f", spark.createDataFrame(rows, "doc long, t string"), "doc", F.array("t"))
     got = {r["term"]: r["band"] for r in store.marked().collect()}
     assert got == {"aa": "common", "bb": "rare", "cc": None, "dd": "common"}
 
