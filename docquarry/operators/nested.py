@@ -4,20 +4,21 @@ Both formats become one tree of elements. A bottom-up run of the automaton gives
 shape of its subtree (the variant) from its label, its text and its children's shapes; a top-down
 run gives it its place (the kind), so that an element counts only on its proper path. All elements
 of a kind share the supertype keys (record, kind, node number, parent number); each kind and
-variant has a typed table of its own with the same keys.
+variant is routed to a typed table of its own with the same keys, and with columns of its own.
 
 The work is one narrow stage: a record is parsed where it is read, nothing is shuffled, and a record's
-elements leave as rows, so nothing is collected.
+elements leave as rows, so nothing is collected. ``Tables`` writes all of them in one parse.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from xml.parsers import expat
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Places of elements: (place of the parent, label) to the element's own. Lower-case places are kinds with rows; the
@@ -125,6 +126,66 @@ def read_xml(payload: str) -> _Tree:
     return tree
 
 
+_JSON_TOKEN = re.compile(
+    r'[ \t\n\r]*(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*")|(true|false|null|-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?)|$)'
+)
+_END = ""
+
+
+def deep_json(payload: str):
+    """The value of a JSON text nested to any depth, read without recursion; like ``json.loads`` with ``_Members`` and numbers as texts."""
+    at = 0
+
+    def token() -> tuple[str, str | None, str | None]:
+        nonlocal at
+        m = _JSON_TOKEN.match(payload, at)
+        if not m:
+            raise ValueError(f"no JSON at {at}")
+        at = m.end()
+        return m[1] or _END, m[2], m[3]
+
+    words = {"true": True, "false": False, "null": None}
+    top: list = []
+    open_: list = [top]  # the containers being read
+    names: list[str] = []  # the member names of the objects among them
+    mark, text, word = token()
+    while True:
+        if mark in ("{", "["):  # a value begins
+            inside = _Members() if mark == "{" else []
+            open_.append(inside)
+            first = True
+        else:
+            if text is None and word is None:
+                raise ValueError(f"no value at {at}")
+            value = json.loads(text) if text is not None else words.get(word, word)
+            open_[-1].append((names.pop(), value) if isinstance(open_[-1], _Members) else value)
+            first = False
+        while True:  # to the next value
+            now = open_[-1]
+            if now is top:
+                if token() != (_END, None, None):
+                    raise ValueError("more after the value")
+                return top[0]
+            mark, text, word = token()
+            closing = "}" if isinstance(now, _Members) else "]"
+            if mark == closing:
+                open_.pop()
+                up = open_[-1]
+                up.append((names.pop(), now) if isinstance(up, _Members) else now)
+                first = False
+                continue
+            if not first:
+                if mark != ",":
+                    raise ValueError(f"no comma at {at}")
+                mark, text, word = token()
+            if isinstance(now, _Members):
+                if text is None or token()[0] != ":":
+                    raise ValueError(f"no member at {at}")
+                names.append(json.loads(text))
+                mark, text, word = token()
+            break
+
+
 class _Members(list):
     """The members of a JSON object in their order, repeated names included."""
 
@@ -135,7 +196,10 @@ def _no_constant(name):
 
 def read_json(payload: str) -> _Tree:
     """The tree of a JSON object: members are elements, arrays repeated elements, nulls nothing. Raises ValueError."""
-    top = json.loads(payload, object_pairs_hook=_Members, parse_constant=_no_constant)
+    try:
+        top = json.loads(payload, object_pairs_hook=_Members, parse_constant=_no_constant, parse_int=str, parse_float=str)
+    except RecursionError:
+        top = deep_json(payload)
     tree = _Tree()
     todo = [("", -1, top)]
     while todo:
@@ -209,7 +273,7 @@ def parse(payload: str | None, fmt: str | None) -> _Tree | None:
         fmt = "json" if payload.lstrip().startswith("{") else "xml"
     try:
         return read_json(payload) if fmt.strip().lower() == "json" else read_xml(payload)
-    except (ValueError, RecursionError, expat.ExpatError):
+    except (ValueError, expat.ExpatError):
         return None
 
 
@@ -240,20 +304,65 @@ def flatten(df: DataFrame, key: str, fmt: str, payload: str) -> DataFrame:
     return source.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
-#: Typed columns of the subtype tables, by kind.
-TYPED = {
-    "claim": ["num"],
-    "claim_text": ["text"],
-    "abstract_p": ["text"],
-    "description_p": ["text"],
-    "list_item": ["text"],
-    "citation": ["text"],
-    "document_id": ["country", "try_cast(ltrim('0', doc_number) AS bigint) AS number", "doc_number", "kind_code", "try_cast(date AS int) AS date"],
+def rejected(df: DataFrame, key: str, fmt: str, payload: str) -> DataFrame:
+    """(key, reason): the payloads that give no rows, being null, blank or ill-formed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, reasons = [], []
+            for k, (f, p) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if parse(p, f) is None:
+                    keep.append(k)
+                    reasons.append("null" if p is None else "ill-formed" if p.strip() else "blank")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), pa.array(reasons, pa.string())], ["key", "reason"])
+
+    source = df.select(F.col(key).alias("key"), F.col(fmt).alias("fmt"), F.col(payload).alias("payload"))
+    return source.mapInArrow(run, f"key {df.schema[key].dataType.simpleString()}, reason string").withColumnRenamed("key", key)
+
+
+_NUMBER = "try_cast(ltrim('0', doc_number) AS bigint) AS number"
+_WORDS = {EMPTY: [], TEXT: ["text"], MARKED: ["text"], NESTED: ["text"]}
+#: The columns of the typed tables: kind to variant to columns beside the supertype's keys.
+TYPED: dict[str, dict[str, list[str]]] = {
+    "claim": {v: ["num", *columns] for v, columns in _WORDS.items()},
+    **{kind: _WORDS for kind in ("claim_text", "abstract_p", "description_p", "list_item")},
+    "citation": {PATENT: [], OTHER: ["text"], EMPTY: []},
+    "document_id": {
+        DATED: ["country", _NUMBER, "doc_number", "kind_code", "try_cast(date AS int) AS date"],
+        UNDATED: ["country", _NUMBER, "doc_number", "kind_code"],
+        PARTIAL: ["country", "doc_number", "kind_code", "date AS date_text"],
+        EMPTY: [],
+    },
 }
 
 
-def subtype(flat: DataFrame, key: str, kind: str, variant: str | None = None) -> DataFrame:
-    """The typed table of a kind, or of one variant of it, with the supertype's keys."""
-    rows = flat.filter(F.col("kind") == kind)
-    rows = rows if variant is None else rows.filter(F.col("variant") == variant)
-    return rows.selectExpr(f"`{key}`", "variant", "node_no", "parent_no", *TYPED[kind])
+class Tables:
+    """The typed tables of a collection of records, written in one parse: a folder per kind and variant."""
+
+    def __init__(self, spark: SparkSession, path: str, key: str, key_type: str):
+        self.key = key
+        fields = SCHEMA.format(key=key_type).split(", ")
+        self.rows = spark.read.schema(", ".join([f"`{key}` {key_type}", *fields[1:]])).parquet(path)
+
+    @classmethod
+    def write(cls, df: DataFrame, key: str, fmt: str, payload: str, path: str) -> Tables:
+        """Parses the payloads, routes each element to its kind and variant, and opens what was written."""
+        flatten(df, key, fmt, payload).write.mode("overwrite").partitionBy("kind", "variant").parquet(path)
+        return cls(df.sparkSession, path, key, df.schema[key].dataType.simpleString())
+
+    def supertype(self) -> DataFrame:
+        """(key, kind, variant, node_no, parent_no) of all elements."""
+        return self.rows.select(self.key, "kind", "variant", "node_no", "parent_no")
+
+    def typed(self, kind: str, variant: str) -> DataFrame:
+        """(key, node_no, parent_no, the variant's own columns); only its folder is read."""
+        rows = self.rows.filter((F.col("kind") == kind) & (F.col("variant") == variant))
+        return rows.selectExpr(f"`{self.key}`", "node_no", "parent_no", *TYPED[kind][variant])
+
+    def of_kind(self, kind: str) -> DataFrame:
+        """(key, variant, node_no, parent_no, the columns of all variants) of a kind, columns a variant lacks being null."""
+        out = None
+        for variant in TYPED[kind]:
+            one = self.typed(kind, variant).withColumn("variant", F.lit(variant))
+            out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+        return out

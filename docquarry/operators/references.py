@@ -1,20 +1,21 @@
 """References to records that do not exist: range-partitioned keys, sorted arrays, binary search.
 
-Parents are reduced to one row per key (first loaded, first removed); quantiles of the keys cut
-them into ranges of a bounded number of keys. References are reduced before any shuffle: of all
+Parents are reduced to one row per key (first loaded, first removed), range-partitioned by a sample of the keys, and stored as one
+row of sorted arrays per range of a bounded number of keys. References are reduced before any shuffle: of all
 references of one table, month, referrer and key only the earliest and latest time matter. They are
 split, range by range, into batches of bounded size (so a key that a third of all rows refer to is
 spread over many batches), and each batch is probed in one vectorised binary search of its
-range's sorted keys.
+range's sorted keys, as they are stored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.session import materialize
@@ -48,28 +49,39 @@ def references(name: str, df: DataFrame, ref: Column, key: Column, at: Column) -
     ).agg(F.min(micros).alias("first_us"), F.max(micros).alias("last_us"))
 
 
-def _ranges(bounds: list[int]):
-    """The number of the range a key lies in, by binary search of the cuts (one per RANGE_KEYS parents)."""
-    cuts = np.array(bounds, np.int64)
+def store_ranges(every_parent: DataFrame, range_keys: int = RANGE_KEYS) -> DataFrame:
+    """(low, keys, loaded_us, removed_us): a row of sorted arrays for each range of parents, written to the shared folder.
 
-    @F.pandas_udf("int")
-    def of(keys):  # noqa: ANN001
-        import pandas as pd
-
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(np.int64), "right").astype(np.int32))
+    The ranges are those of a range partitioning, which samples the keys as a sort does; keys are unique, so none is hot.
+    """
+    kept = materialize(every_parent, "parents")
+    ranges = max(1, -(-kept.count() // range_keys))
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        whole = pa.Table.from_batches(got).combine_chunks()
+        never = np.iinfo(np.int64).max
+        columns = [whole["key"].to_numpy(), *(whole[c].fill_null(never).to_numpy() for c in ("loaded_us", "removed_us"))]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(columns[0][:1]), *(pa.array([c], pa.list_(pa.int64())) for c in columns)], ["low", "keys", "loaded_us", "removed_us"]
+        )
 
-    return of
+    ordered = kept.repartitionByRange(ranges, "key").sortWithinPartitions("key")
+    schema = "low bigint, keys array<bigint>, loaded_us array<bigint>, removed_us array<bigint>"
+    return materialize(ordered.mapInArrow(arrays, schema), "ranges")
 
 
-def _lookup(values: list[int]):
-    """The value at a range's number."""
-    array = np.array(values, np.int32)
+def _numbered(spark: SparkSession, lows: np.ndarray):
+    """The number of the range a key lies in, by binary search of the ranges' least keys (one per RANGE_KEYS parents)."""
+    sent = spark.sparkContext.broadcast(lows[1:])
 
     @F.pandas_udf("int")
-    def of(ranges):  # noqa: ANN001
+    def of(keys):  # noqa: ANN001
         import pandas as pd
 
-        return pd.Series(array[ranges.to_numpy(np.int64)])
+        return pd.Series(np.searchsorted(sent.value, keys.to_numpy(np.int64), "right").astype(np.int32))
 
     return of
 
@@ -80,28 +92,23 @@ def orphans(every_parent: DataFrame, refs: list[DataFrame], range_keys: int = RA
     A key is there from its first loading until its first removal. Empty parents make every
     reference an orphan; empty references give an empty table.
     """
-    store = materialize(every_parent, "parents")
-    n = store.count()
-    cuts = max(0, -(-n // range_keys) - 1)
-    shares = [(k + 1) / (cuts + 1) for k in range(cuts)]
-    bounds = sorted(set(store.agg(F.percentile_approx("key", shares, max(10_000, 4 * cuts)).alias("b")).first()["b"])) if cuts else []
-    of = _ranges(bounds)
+    spark = every_parent.sparkSession
+    store = store_ranges(every_parent, range_keys)
+    of = _numbered(spark, np.array(sorted(r["low"] for r in store.select("low").collect()), np.int64))  # a key per range
     told = materialize(reduce(DataFrame.unionByName, refs).withColumn("range", of("missing_id")), "references")
-    sizes = {r["range"]: -(-r["count"] // batch) for r in told.groupBy("range").count().collect()}  # a row per range
-    parts_of = _lookup([sizes.get(k, 0) for k in range(len(bounds) + 1)])
-    left = told.withColumn("parts", parts_of("range"))
+    # a row per range, of two integers: as many as the ranges' least keys above
+    parts = told.groupBy("range").agg(F.ceil(F.count("*") / batch).cast("int").alias("parts"))
+    left = told.join(F.broadcast(parts), "range")
     left = left.withColumn("part", F.pmod(F.xxhash64("ref_table", "period", "ref_id", "missing_id"), F.col("parts")).cast("int"))
-    right = store.withColumn("range", of("key"))
-    right = right.withColumn("parts", parts_of("range")).filter("parts > 0")
-    right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def probe(group: pa.Table, keys: pa.Table) -> pa.Table:
-        k = keys["key"].to_numpy()
-        order = np.argsort(k, kind="stable")
-        k = np.append(k[order], np.iinfo(np.int64).max)
+    copies = parts.select(F.col("range").alias("of"), F.col("parts").alias("copies"))
+    right = store.withColumn("range", of("low")).join(F.broadcast(copies), F.col("range") == F.col("of"))
+    right = right.select("range", "keys", "loaded_us", "removed_us", F.explode(F.expr("sequence(0, copies - 1)")).alias("part"))
+
+    def probe(group: pa.Table, held: pa.Table) -> pa.Table:
         never = np.iinfo(np.int64).max
-        loaded = np.append(keys["loaded_us"].fill_null(never).to_numpy()[order], never)
-        removed = np.append(keys["removed_us"].fill_null(never).to_numpy()[order], never)
+        k, loaded, removed = (
+            np.append(held[c].combine_chunks().flatten().to_numpy() if held.num_rows else np.zeros(0, np.int64), never) for c in ("keys", "loaded_us", "removed_us")
+        )
         want = group["missing_id"].to_numpy()
         at = np.searchsorted(k, want)
         missing = (k[at] != want) | (group["first_us"].to_numpy() < loaded[at]) | (group["last_us"].to_numpy() >= removed[at])

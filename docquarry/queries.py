@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docquarry import engine_queries
 from docquarry.operators import nested, references
-from docquarry.session import table
+from docquarry.session import scratch_path, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -27,12 +28,31 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return _grants(spark, d).select("raw_id", "kind", "node_no", "parent_no")
 
 
+_tables: dict[tuple, nested.Tables] = {}
+
+
+def grant_tables(spark: SparkSession, d: str) -> nested.Tables:
+    """The typed tables of a data directory, parsed and written once per application."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _tables:
+        _tables[at] = nested.Tables.write(table(spark, d, "grants_raw"), "raw_id", "fmt", "payload", scratch_path(spark, "grants"))
+    return _tables[at]
+
+
 def p6_variants(spark: SparkSession, d: str) -> DataFrame:
-    return _grants(spark, d).groupBy("kind", "variant").count().withColumnRenamed("count", "n_elements")
+    return grant_tables(spark, d).supertype().groupBy("kind", "variant").agg(F.count("*").alias("n_elements"))
+
+
+def p6_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return nested.rejected(table(spark, d, "grants_raw"), "raw_id", "fmt", "payload")
+
+
+def _of_kind(kind: str):
+    return lambda spark, d: grant_tables(spark, d).of_kind(kind)
 
 
-def _subtype(kind: str):
-    return lambda spark, d: nested.subtype(_grants(spark, d), "raw_id", kind)
+def _typed(kind: str, variant: str):
+    return lambda spark, d: grant_tables(spark, d).typed(kind, variant)
 
 
 P2_CASES = """
@@ -53,7 +73,9 @@ QUERIES: dict = {
     "p2_report": p2_report,
     "p6_found": p6_found,
     "p6_variants": p6_variants,
-    **{f"p6_{kind}": _subtype(kind) for kind in nested.KINDS},
+    "p6_rejected": p6_rejected,
+    **{f"p6_{kind}": _of_kind(kind) for kind in nested.KINDS},
+    **{f"p6_{kind}_{v}": _typed(kind, v) for kind in ("citation", "document_id") for v in nested.TYPED[kind]},
 }
 SQL: dict[str, str] = {
     **engine_queries.SQL,

@@ -55,12 +55,37 @@ def test_ill_formed():
     assert len(keys(deep, "xml")) == 5001
 
 
-def test_tables(spark):
+def test_deep_json():
+    texts = [JSON, [], {}, [1.50, -2e3, "a\u00e9\n\\", None, True, {"a": [{}, []]}], "x", {"a": {"a": 1, "b": [[["]"]]]}}]
+    for text in map(json.dumps, texts):
+        assert nested.deep_json(text) == json.loads(text, object_pairs_hook=nested._Members, parse_int=str, parse_float=str)
+    for text in ("[", "]", "[1,]", '{"a"}', '{"a":}', '{"a":1,}', "[1 2]", "1 2", "", '"a', "[01]", '{a:1}', "[,1]", '{"a":1]', "nul"):
+        try:
+            nested.deep_json(text)
+            raise AssertionError(text)
+        except ValueError:
+            pass
+    deep = '{"us-patent-grant": {"claims": {"claim": ' + '{"claim-text": ' * 20_000 + '""' + "}" * 20_000 + "}}}"
+    tree = nested.parse(deep, "json")
+    assert len(tree.labels) == 20_003
+    assert keys('{"us-patent-grant": {"abstract": {"p": ' + "7" * 5000 + "}}}", "json")["abstract_p", "1", ""][4] == "7" * 5000
+
+
+def test_tables(spark, tmp_path):
     rows = [(1, "xml", XML), (2, "json", json.dumps(JSON)), (3, "xml", None), (None, None, XML), (1, "xml", XML)]
     df = spark.createDataFrame(rows, "raw_id long, fmt string, payload string").withColumns({"kind": F.lit(0), "key": F.lit(1)})
     flat = nested.flatten(df, "raw_id", "fmt", "payload")
     assert flat.filter("raw_id = 1").count() == 30 and flat.filter("raw_id IS NULL").count() == 15 and flat.filter("raw_id = 3").count() == 0
-    ids = nested.subtype(flat, "raw_id", "document_id", "dated").collect()
-    assert [(r["number"], r["date"]) for r in ids] == [(12, 20120101)] * 3
+    tables = nested.Tables.write(df, "raw_id", "fmt", "payload", f"file://{tmp_path}/grants")
+    assert sorted(map(str, tables.supertype().collect())) == sorted(map(str, flat.select("raw_id", "kind", "variant", "node_no", "parent_no").collect()))
+    ids = tables.typed("document_id", "dated")
+    assert ids.columns == ["raw_id", "node_no", "parent_no", "country", "number", "doc_number", "kind_code", "date"]
+    assert [(r["number"], r["date"]) for r in ids.collect()] == [(12, 20120101)] * 3
+    assert tables.typed("citation", "patent").columns == ["raw_id", "node_no", "parent_no"] and tables.typed("citation", "other").first()["text"] == "A book"
+    assert tables.of_kind("document_id").count() == flat.filter("kind = 'document_id'").count()
+    assert sum(tables.typed(k, v).count() for k in nested.KINDS for v in nested.TYPED[k]) == flat.count()
+    empty = nested.Tables.write(df.limit(0), "raw_id", "fmt", "payload", f"file://{tmp_path}/none")
+    assert empty.of_kind("claim").count() == 0
+    assert [tuple(r) for r in nested.rejected(df, "raw_id", "fmt", "payload").collect()] == [(3, "null")]
     children = flat.alias("c").join(flat.alias("p"), F.expr("c.raw_id = p.raw_id AND c.parent_no = p.node_no AND c.kind IN ('claim_text', 'list_item') AND p.kind IN ('claim', 'claim_text', 'description_p', 'list_item')"))
     assert children.count() > 0 and nested.flatten(df.limit(0), "raw_id", "fmt", "payload").count() == 0
