@@ -75,7 +75,10 @@ QUERIES: dict = {
     "p6_variants": p6_variants,
     "p6_rejected": p6_rejected,
     **{f"p6_{kind}": _of_kind(kind) for kind in nested.KINDS},
-    **{f"p6_{kind}_{v}": _typed(kind, v) for kind in ("citation", "document_id") for v in nested.TYPED[kind]},
+    "p6_patent_citations": _typed("citation", nested.PATENT),
+    "p6_other_citations": _typed("citation", nested.OTHER),
+    "p6_dated_ids": _typed("document_id", nested.DATED),
+    "p6_undated_ids": _typed("document_id", nested.UNDATED),
 }
 SQL: dict[str, str] = {
     **engine_queries.SQL,
