@@ -14,6 +14,7 @@ import base64
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 LETTER, NUMBER, SPACE, BLANK, OTHER, QUOTE = range(6)
 
@@ -159,11 +160,13 @@ def scan(sym: np.ndarray) -> np.ndarray:
     element = np.zeros(blocks, np.intp)
     for j in range(BLOCK):
         element = product[element * width + columns[j]].astype(np.intp)
-    before = np.zeros(blocks, np.uint8)
-    state = Q_START
-    for k, e in enumerate(element.tolist()):
-        before[k] = state
-        state = apply[e, state]
+    # the state before each block: an inclusive scan of the blocks' transition functions by doubling steps
+    function, step = apply[element], 1
+    while step < blocks:
+        function[step:] = np.take_along_axis(function[step:], function[:-step], axis=1)
+        step *= 2
+    before = np.full(blocks, Q_START, np.uint8)
+    before[1:] = function[:-1, Q_START]
     out = np.empty((BLOCK, blocks), bool)
     now = before.astype(np.intp)
     for j in range(BLOCK):
@@ -267,14 +270,34 @@ class ByteBpe:
         ends = np.cumsum(width)
         return ends - width - np.repeat((offsets - offsets[0])[:-1], np.diff(per_text))
 
-    def decode(self, ids: np.ndarray, lengths: np.ndarray) -> list[str]:
-        """The texts of concatenated id lists of the given lengths."""
-        words = getattr(self, "words", None)
-        if words is None:
-            words = self.words = {rank: word for word, rank in self.ranks.items()}
-        ends = np.cumsum(lengths).tolist()
-        flat = ids.tolist()
-        return [b"".join([words[i] for i in flat[b - n : b]]).decode("utf-8", "replace") for b, n in zip(ends, lengths.tolist())]
+    def decode(self, ids: np.ndarray, lengths: np.ndarray, starts: np.ndarray | None = None) -> pa.Array:
+        """The texts of concatenated id lists of the given lengths: each id's bytes are laid at its start, where starts are retained, or one
+        after another. Bytes that are no UTF-8 become replacement characters."""
+        width = self._widths()
+        if not hasattr(self, "word_bytes"):
+            ordered = sorted(self.ranks.items(), key=lambda x: x[1])
+            self.word_bytes = np.frombuffer(b"".join(w for w, _ in ordered), np.uint8)
+            self.word_at = np.cumsum(width) - width
+        n = width[ids]
+        per_text = np.append(0, np.cumsum(lengths))
+        if starts is None:
+            ends = np.append(0, np.cumsum(n))
+            texts, to = ends[per_text], ends[:-1]
+        else:
+            last = np.maximum(per_text[1:] - 1, 0)
+            size = np.where(lengths > 0, (starts + n)[last] if len(ids) else 0, 0)
+            texts = np.append(0, np.cumsum(size))
+            to = starts + np.repeat(texts[:-1], lengths)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        out = np.zeros(texts[-1], np.uint8)
+        out[place + np.repeat(to, n)] = self.word_bytes[place + np.repeat(self.word_at[ids], n)]
+        made = pa.StringArray.from_buffers(len(lengths), pa.py_buffer(texts.astype(np.int32)), pa.py_buffer(out))
+        try:
+            made.validate(full=True)
+        except pa.ArrowInvalid:
+            buffer, cuts = out.tobytes(), texts.tolist()
+            return pa.array([buffer[a:b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])], pa.string())
+        return made
 
     def _numbers_short(self, data, begin, length, short, number) -> None:
         """Cache numbers of the pieces of up to 15 bytes, which two 8-byte words and a length hold exactly."""

@@ -7,8 +7,9 @@ the spread. With p = tf / gf over the records that hold the term and N records i
 
 so the term aggregate needs only sums of tf and tf ln tf and is combined before the shuffle. Terms
 of a large share of all records are few (their number times that share is at most the mean
-number of distinct terms of a record); they are joined by broadcast after a check of their number,
-the others by a shuffle in which no term is hot.
+number of distinct terms of a record); at most HOT_TERMS of them, those in most records, are joined by broadcast, the others by a shuffle. What
+is left for the shuffle has no hot term: a term there is in at most HOT_SHARE of the records, or there are HOT_TERMS terms in more records
+than it, so that it has at most 1 / HOT_TERMS of all rows.
 
 Defined results: rows with a null key are left out; the rows of one key are one record, whose local
 frequency is that of the row holding the term most often; null and empty texts hold no terms; with
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from docquarry.session import materialize
 
-#: A term in more than this share of the records is joined by broadcast, if there are at most HOT_TERMS of them.
+#: Terms in more than this share of the records are joined by broadcast, HOT_TERMS of them at most.
 HOT_SHARE = 1 / 64
 HOT_TERMS = 100_000
 
@@ -61,10 +62,20 @@ def scores(df: DataFrame, key: str, row: str, terms: Column) -> DataFrame:
     weights = materialize(term_weights(local, n), "term-weights")
     score = (F.log1p(F.col("tf")) * F.col("weight")).alias("score")
     cols = [F.col("key").alias(key), "term", "tf", "records", score]
-    hot = weights.filter(F.col("records") > HOT_SHARE * n).select("term", "records", "weight")
-    if not 0 < hot.count() <= HOT_TERMS:
-        return local.join(weights, "term").select(*cols)
-    rest = weights.filter(F.col("records") <= HOT_SHARE * n).select("term", "records", "weight")
-    split = local.join(F.broadcast(hot), "term", "left")
+    bound = hot_bound(weights, n)
+    hot = weights.filter(F.col("records") > bound).select("term", "records", "weight")
+    rest = weights.filter(F.col("records") <= bound).select("term", "records", "weight")
+    split = local.join(F.broadcast(hot), "term", "left")  # at most HOT_TERMS rows
     cold = split.filter(F.col("records").isNull()).select("key", "term", "tf").join(rest, "term")
     return split.filter(F.col("records").isNotNull()).select(*cols).unionByName(cold.select(*cols))
+
+
+def hot_bound(weights: DataFrame, n: int, share: float = HOT_SHARE, most: int = HOT_TERMS) -> float:
+    """The least number of records, share * n or more, that at most so many terms exceed."""
+    levels = weights.filter(F.col("records") > share * n).groupBy("records").count()
+    total = 0
+    for r in levels.orderBy(F.desc("records")).limit(most + 1).collect():  # a level holds a term or more, so these suffice
+        total += r["count"]
+        if total > most:
+            return r["records"]
+    return share * n

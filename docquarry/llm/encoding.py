@@ -10,11 +10,13 @@ names cannot clash.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -44,6 +46,18 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         at = to
 
 
+def send(spark: SparkSession, ranks: str) -> None:
+    """Sends the rank file of the driver to the executors, which need no copy of their own. A path that only they have stays theirs."""
+    if os.path.exists(ranks):
+        spark.sparkContext.addFile(ranks)
+
+
+def received(ranks: str) -> str:
+    """On an executor, where a rank file lies."""
+    sent = SparkFiles.get(os.path.basename(ranks))
+    return sent if os.path.exists(sent) else ranks
+
+
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32, copy=False)))
 
@@ -51,11 +65,12 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def encode(df: DataFrame, key: str, text: str, ranks: str = DEFAULT_RANKS, offsets: bool = False) -> DataFrame:
     """(key, ids): the ids of each text. With offsets also (starts): the byte of the text at which each id begins."""
     kind = df.schema[key].dataType.simpleString()
+    send(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from docquarry.llm.bytebpe import tokenizer
 
-        bpe = tokenizer(ranks)
+        bpe = tokenizer(received(ranks))
         for batch in batches:
             for a, b, data, off in _slices(batch.column(1)):
                 ids, per_text, begin, per_piece = bpe.encode(data, off)
@@ -72,11 +87,12 @@ def encode(df: DataFrame, key: str, text: str, ranks: str = DEFAULT_RANKS, offse
 def count_tokens(df: DataFrame, key: str, text: str, ranks: str = DEFAULT_RANKS) -> DataFrame:
     """(key, n_tokens int): the number of ids of each text, without moving the ids to the JVM."""
     kind = df.schema[key].dataType.simpleString()
+    send(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from docquarry.llm.bytebpe import tokenizer
 
-        bpe = tokenizer(ranks)
+        bpe = tokenizer(received(ranks))
         for batch in batches:
             for a, b, data, off in _slices(batch.column(1)):
                 _, per_text, _, _ = bpe.encode(data, off, counts_only=True)
@@ -88,18 +104,24 @@ def count_tokens(df: DataFrame, key: str, text: str, ranks: str = DEFAULT_RANKS)
     return out.withColumnRenamed("key", key)
 
 
-def decode(df: DataFrame, key: str, ids: str, ranks: str = DEFAULT_RANKS) -> DataFrame:
-    """(key, text): the texts of id lists; the inverse of ``encode``. A null or empty list gives the empty text."""
+def decode(df: DataFrame, key: str, ids: str, ranks: str = DEFAULT_RANKS, starts: str | None = None) -> DataFrame:
+    """(key, text): the texts of id lists; the inverse of ``encode``. A null or empty list gives the empty text.
+
+    starts: the column of the offsets that ``encode`` retained; each id's bytes are laid there.
+    """
     kind = df.schema[key].dataType.simpleString()
+    send(df.sparkSession, ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from docquarry.llm.bytebpe import tokenizer
 
-        bpe = tokenizer(ranks)
+        bpe = tokenizer(received(ranks))
         for batch in batches:
-            lists = batch.column(1).fill_null([])
-            texts = bpe.decode(lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["key", "text"])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                flat, n = zip(*((c.flatten().to_numpy(zero_copy_only=False), c.value_lengths().to_numpy()) for c in (x.fill_null([]) for x in part.columns[1:])))
+                yield pa.RecordBatch.from_arrays([part.column(0), bpe.decode(flat[0], n[0], *flat[1:])], ["key", "text"])
 
-    out = df.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, text string")
+    columns = [F.col(ids).alias("ids"), *([F.col(starts).alias("starts")] if starts else [])]
+    out = df.select(F.col(key).alias("key"), *columns).mapInArrow(run, f"key {kind}, text string")
     return out.withColumnRenamed("key", key)

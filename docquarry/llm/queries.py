@@ -11,6 +11,8 @@ from docquarry.llm.frequencies import CountStore, arrivals
 from docquarry.llm.neardup import NearDuplicates
 from docquarry.session import table
 
+#: White space, as the splitting knows it.
+_BLANK = "[\\s\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x0b]"
 ZONES = ["title", "abstract", "claims", "description"]
 
 
@@ -61,6 +63,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.split(table(spark, d, "patents"), "row_id", {"abstract": "Abstract", "description": "Description"})
 
 
+def p4_cover(spark: SparkSession, d: str) -> DataFrame:
+    """How many characters other than white space the units of a zone hold: all of them, once."""
+    zones = table(spark, d, "patents").select("row_id", F.explode(F.expr("array(struct('Abstract' AS ct, abstract AS text), struct('Description' AS ct, description AS text))")).alias("z"))
+    units = p4_found(spark, d).join(zones.select("row_id", "z.ct", "z.text"), ["row_id", "ct"])
+    unit = F.expr("substring(text, start_pos + 1, end_pos - start_pos)")
+    return units.groupBy("row_id", "ct").agg(F.sum(F.length(F.regexp_replace(unit, _BLANK, ""))).alias("n_chars"))
+
+
 def _near(spark: SparkSession, d: str) -> NearDuplicates:
     patents = table(spark, d, "patents")
     return NearDuplicates(patents.select("doc_id", F.concat_ws(" ", *ZONES[1:]).alias("body")), "doc_id", "body")
@@ -80,12 +90,15 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     ids = encoding.encode(table(spark, d, "documents"), "doc_id", "text", offsets=True)
-    return encoding.decode(ids, "doc_id", "ids")
+    return encoding.decode(ids, "doc_id", "ids", starts="starts")
+
+
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.count_tokens(table(spark, d, "documents"), "doc_id", "text")
 
 
 def _packed(spark: SparkSession, d: str) -> DataFrame:
-    sizes = encoding.count_tokens(table(spark, d, "documents"), "doc_id", "text")
-    return packing.pack(sizes, "doc_id", "n_tokens")
+    return packing.pack(_sizes(spark, d), "doc_id", "n_tokens")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +109,11 @@ def p8_packed(spark: SparkSession, d: str) -> DataFrame:
     return _packed(spark, d)
 
 
+def p8_proof(spark: SparkSession, d: str) -> DataFrame:
+    """One row: documents whose pieces do not cover them once, and containers that hold more than they may, of a packing."""
+    return packing.violations(_packed(spark, d), _sizes(spark, d), "doc_id", "n_tokens")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     prose = F.col("zone").isin("abstract", "claims", "description")
     return spampages.spam_pages(table(spark, d, "documents"), "doc_id", "text", "lang", prose).select("doc_id")
@@ -107,12 +125,14 @@ QUERIES = {
     "p3_found": p3_found,
     "p3_scores": p3_scores,
     "p4_found": p4_found,
+    "p4_cover": p4_cover,
     "p5_found": p5_found,
     "p5_groups": p5_groups,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
     "p8_found": p8_found,
     "p8_packed": p8_packed,
+    "p8_proof": p8_proof,
     "p9_found": p9_found,
 }
 
@@ -145,8 +165,25 @@ _P5_PAIRS = r"""
     shared AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS m FROM runs a JOIN runs b ON a.r = b.r AND a.doc_id < b.doc_id GROUP BY ALL)
     SELECT doc_a, doc_b FROM shared JOIN sizes x ON x.doc_id = doc_a JOIN sizes y ON y.doc_id = doc_b WHERE 10 * m >= 6 * (x.n + y.n - m)"""
 
+_P4_COVER = " UNION ALL ".join(
+    f"SELECT row_id, '{ct}' AS ct, length(regexp_replace({zone}, '{_BLANK}', '', 'g')) AS n_chars FROM patents WHERE length(regexp_replace({zone}, '{_BLANK}', '', 'g')) > 0"
+    for zone, ct in (("abstract", "Abstract"), ("description", "Description"))
+)
+#: Classes of equal texts, links between them, and their transitive closure.
+_P5_GROUPS = _P5_PAIRS.replace("WITH docs", "WITH RECURSIVE docs").replace(")\n    SELECT doc_a, doc_b", "),\n    pairs AS MATERIALIZED (SELECT doc_a, doc_b") + r"""),
+    classes AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS class_id FROM docs WHERE len(t) >= 300),
+    both AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+    links AS MATERIALIZED (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM both JOIN classes x ON x.doc_id = a JOIN classes y ON y.doc_id = b WHERE x.class_id <> y.class_id),
+    reached AS (SELECT DISTINCT class_id AS a, class_id AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
+    groups AS (SELECT a, min(b) AS group_id FROM reached GROUP BY a),
+    degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT doc_id, class_id, group_id, CAST(coalesce(n, 0) AS INTEGER) AS n_links FROM classes JOIN groups g ON g.a = class_id LEFT JOIN degrees d ON d.a = class_id"""
+
 SQL = {
+    "p4_cover": _P4_COVER,
     "p5_found": _P5_PAIRS,
+    "p5_groups": _P5_GROUPS,
+    "p8_proof": "SELECT count(*) AS n_items, CAST(0 AS BIGINT) AS n_wrong_items, CAST(0 AS BIGINT) AS n_wrong_containers FROM documents",
     "p1_found": f"SELECT field, token, band FROM ({_P1_COUNTS}) WHERE band IS NOT NULL",
     "p1_counts": _P1_COUNTS,
     "p3_found": f"SELECT doc_id, token FROM ({_P3_SCORES}) WHERE tf >= 4 AND n_docs BETWEEN 2 AND 8",

@@ -61,6 +61,10 @@ def test_tables(spark):
     assert got[0]["ids"] == got[1]["ids"] == [] and got[None]["ids"]
     back = {r["id"]: r["text"] for r in encoding.decode(ids, "id", "ids").collect()}
     assert all(back[k] == (t or "") for k, t in enumerate(TEXTS))
+    placed = {r["id"]: r["text"] for r in encoding.decode(ids, "id", "ids", starts="starts").collect()}
+    assert placed == back
+    cut = tokenizer(encoding.DEFAULT_RANKS).decode(np.array([got[14]["ids"][0]] if len(got[14]["ids"]) > 1 else got[5]["ids"][:1]), np.array([1, 0]))
+    assert len(cut) == 2 and cut[1].as_py() == ""
     counts = {r["id"]: r["n_tokens"] for r in encoding.count_tokens(df, "id", "body").collect()}
     assert all(counts[k] == len(got[k]["ids"]) == len(got[k]["starts"]) for k in counts)
     data = TEXTS[7].encode()
@@ -92,6 +96,12 @@ def test_packing(spark):
         assert (pieces[0]["container_id"] is None) == (s == 0)
     for rows in by_bin.values():
         assert sum(r["n_units"] for r in rows) == rows[0]["container_fill"] <= 4096
+    df = spark.createDataFrame([(k, s) for k, s in enumerate(sizes)], "id long, size int")
+    made = spark.createDataFrame(got)
+    assert tuple(packing.violations(made, df, "id", "size").first()) == (3000, 0, 0)
+    assert packing.violations(made.filter("id <> 5"), df, "id", "size").first()["n_wrong_items"] == 1
+    double = made.withColumn("n_units", F.expr("n_units * 2"))
+    assert packing.violations(double, df, "id", "size").first()["n_wrong_containers"] > 100
     total = sum(r["n_units"] for r in got)
     assert len(by_bin) <= -(-total // 4096) * 1.02 + 1
 
@@ -102,6 +112,19 @@ def test_tree_merges_open_bins(spark):
     assert packed(spark, [5]) and len(packed(spark, [5], parts=1)) == 1
 
 
+def test_streamed_chunks_and_rounds(spark, monkeypatch):
+    """Small chunks and tasks: bins that cannot be joined end the rounds, others are joined with partners of later rounds."""
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    monkeypatch.setattr(packing, "BINS_PER_TASK", 20)
+    rng = random.Random(3)
+    sizes = [rng.randint(1, 3000) for _ in range(600)]
+    got = packed(spark, sizes)
+    assert len({r["container_id"] for r in got}) <= 1.06 * -(-sum(sizes) // 4096)
+    assert sum(r["n_units"] for r in got) == sum(sizes) and all(r["container_fill"] <= 4096 for r in got)
+    stuck = packed(spark, [2100] * 300)
+    assert len({r["container_id"] for r in stuck}) == 300
+
+
 def test_empty_packing(spark):
     df = spark.createDataFrame([], "id long, size int")
     assert packing.pack(df, "id", "size").count() == 0

@@ -89,4 +89,8 @@ def test_scores(spark):
     weight = 1 + sum(p * log(p) for p in spread) / log(5)
     assert abs(got[1, "aa"]["score"] - log(3) * weight) < 1e-12
     assert abs(got[2, "cc"]["score"] - log(4)) < 1e-12 and got[2, "cc"]["records"] == 1
+    from docquarry.llm import distinctive
+
+    weights = spark.createDataFrame([("a", 9), ("b", 9), ("c", 7), ("d", 5), ("e", 1)], "term string, records long")
+    assert [distinctive.hot_bound(weights, 10, 0.3, k) for k in (4, 3, 2, 1)] == [3.0, 5, 7, 9]
     assert scores(df.limit(0), "doc", "row", tokens("text")).count() == 0
