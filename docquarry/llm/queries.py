@@ -172,8 +172,8 @@ _P4_COVER = " UNION ALL ".join(
 #: Classes of equal texts, links between them, and their transitive closure.
 _P5_GROUPS = _P5_PAIRS.replace("WITH docs", "WITH RECURSIVE docs").replace(")\n    SELECT doc_a, doc_b", "),\n    pairs AS MATERIALIZED (SELECT doc_a, doc_b") + r"""),
     classes AS MATERIALIZED (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS class_id FROM docs WHERE len(t) >= 300),
-    both AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
-    links AS MATERIALIZED (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM both JOIN classes x ON x.doc_id = a JOIN classes y ON y.doc_id = b WHERE x.class_id <> y.class_id),
+    ends AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION ALL SELECT doc_b, doc_a FROM pairs),
+    links AS MATERIALIZED (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM ends JOIN classes x ON x.doc_id = a JOIN classes y ON y.doc_id = b WHERE x.class_id <> y.class_id),
     reached AS (SELECT DISTINCT class_id AS a, class_id AS b FROM classes UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b),
     groups AS (SELECT a, min(b) AS group_id FROM reached GROUP BY a),
     degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
