@@ -12,7 +12,15 @@ from docquarry.operators.matching import Hits
 from docquarry.plans.ast import Boolean, LinkTo, Query
 from docquarry.plans.compiler import Options, compile_query
 from docquarry.plans.parser import parse
-from docquarry.session import ship
+from docquarry.session import materialize, ship
+
+
+def corrections(hits: Hits) -> DataFrame:
+    """One row: what spelling changed, as (original, corrected), of the tokens that are matched. At most one per token of the query."""
+    pairs = [F.struct(F.lit(old).alias("original"), F.lit(new).alias("corrected")) for new, old in sorted(hits.corrections.items())]
+    every = F.array(*pairs).cast("array<struct<original:string,corrected:string>>")
+    found = hits.cells.filter(F.col("token").isin(list(hits.corrections))).agg(F.collect_set("token").alias("found"))
+    return found.select(F.filter(every, lambda p: F.array_contains("found", p["corrected"])).alias("corrections"))
 
 
 class Engine:
@@ -25,6 +33,7 @@ class Engine:
     def index(cls, docs: DataFrame, path: str, stop_words: frozenset[str] = frozenset(), stem: bool = True, compress: bool = True, cf_mode: str = "zones", options: Options = Options()) -> Engine:
         """Builds the index of documents with PageRank, stores it below path and opens it."""
         spark = ship(docs.sparkSession)
+        docs = materialize(docs, "docs")
         ranks = pagerank.pagerank(docs, index.build_citations(docs))
         built = index.build(docs, stop_words, stem, cf_mode, ranks, written=True)
         index.save(built, path, "zstd" if compress else "none")
@@ -60,18 +69,24 @@ class Engine:
         return ranking.top(ranking.score(self.tables, hits, k, original, self.options.nan_empty_zone), k), hits
 
     def search(self, query: str | Query, k: int = 10) -> DataFrame:
-        """(rank, doc_id, score, title, abstract, snippet, tokens), best first."""
+        """(rank, doc_id, score, title, abstract, snippet, tokens, corrections), best first; corrections are the same in every row."""
         ranked, hits = self.rank(query, k)
-        return feedback.snippets(ranked, hits.cells, self.tables.contents).orderBy("rank")
+        shown = feedback.snippets(ranked, hits.cells, self.tables.contents)
+        return shown.join(F.broadcast(corrections(hits)), F.lit(True)).orderBy("rank")  # one row
 
-    def format(self, query: str | Query, k: int = 10) -> list[str]:
-        """The printed results, at most k."""
+    def formatted(self, query: str | Query, k: int = 10) -> DataFrame:
+        """(rank, text): the printed results, best first."""
         ranked, hits = self.rank(query, k)
         rows = ranked.join(self.tables.contents, "doc_id", "left")
         rows = rows.join(feedback.grouped_hits(hits.cells, ranked, "Title", "title_hits"), "doc_id", "left")
         rows = rows.join(feedback.grouped_hits(hits.cells, ranked, "Abstract", "hits"), "doc_id", "left")
-        out = rows.select("rank", formatted_column("doc_id", "title", "abstract", "title_hits", "hits").alias("text"))
-        return [r["text"] for r in out.orderBy("rank").collect()]
+        return rows.select("rank", formatted_column("doc_id", "title", "abstract", "title_hits", "hits").alias("text")).orderBy("rank")
+
+    def format(self, query: str | Query, k: int = 10) -> list[str]:
+        """The printed results, at most k of them (k must not be negative)."""
+        if k < 0:
+            raise ValueError("printing all results needs formatted()")
+        return [r["text"] for r in self.formatted(query, k).collect()]
 
     def ndcg(self, gold: list[str], results: list[str], p: int) -> float | None:
         """NDCG at p of printed results, whose first seven characters are their numbers, against gold numbers."""

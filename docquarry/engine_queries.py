@@ -17,8 +17,9 @@ from docquarry.operators import evaluation, feedback, index, pagerank, ranking,
 from docquarry.plans.compiler import Options, compile_query
 from docquarry.plans.parser import parse
 from docquarry.schemas import ZONE_COLUMNS, ZONES
-from docquarry.session import scratch_path, table
-from docquarry.sources.corpus import DOCS, grant_record, patent_docs, stop_words
+from docquarry.session import list_path, move_path, scratch_path, table
+from docquarry.sources import corpus
+from docquarry.sources.corpus import DOCS, patent_docs, stop_words
 from docquarry.streaming import incremental
 
 #: Terms of the sample queries.
@@ -165,14 +166,28 @@ def coord_level(spark: SparkSession, d: str) -> DataFrame:
 
 
 def highlight(spark: SparkSession, d: str) -> DataFrame:
-    pattern = rf"(?i)\b({WORD}|{OTHER})\b"
-    marked = F.regexp_replace("title", pattern, f"{snippets.GREEN}$1{snippets.COLOUR_OFF}")
+    marked = snippets.highlight_column("title", F.array(F.lit(WORD), F.lit(OTHER)))
     return docs(spark, d).select("doc_id", F.concat(F.lit(snippets.BOLD), marked, F.lit(snippets.BOLD_OFF)).alias("title"))
 
 
+def _engine(spark: SparkSession, d: str) -> Engine:
+    return Engine(spark, stored(spark, d))
+
+
 def format_result(spark: SparkSession, d: str) -> DataFrame:
-    parts = [F.col("doc_id").cast("string"), F.lit(" " + snippets.BOLD), F.coalesce("title", F.lit("")), F.lit(snippets.BOLD_OFF + "\n"), F.coalesce("abstract", F.lit(""))]
-    return tables(spark, d).contents.select("doc_id", F.concat(*parts).alias("text"))
+    """The printed results of a keyword query."""
+    return _engine(spark, d).formatted(f"{RARE} {OTHER}", TOP)
+
+
+def search_prf(spark: SparkSession, d: str) -> DataFrame:
+    """A search with feedback from the snippets of the three best documents, unstemmed."""
+    return _engine(spark, d).search(f"{RARE} {OTHER} #3", TOP).select("rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def search_corrected(spark: SparkSession, d: str) -> DataFrame:
+    """A search with a misspelt word, and what was corrected."""
+    got = _engine(spark, d).search(f"{MISSPELT} {OTHER}", TOP).select("rank", "doc_id", F.round("score", 6).alias("score"), F.explode("corrections").alias("c"))
+    return got.select("rank", "doc_id", "score", "c.original", "c.corrected")
 
 
 def stem(spark: SparkSession, d: str) -> DataFrame:
@@ -214,29 +229,52 @@ def search(spark: SparkSession, d: str) -> DataFrame:
     return engine.search(f'"{PHRASE2[0]} {PHRASE2[1]}" {OTHER} #3').drop("tokens")
 
 
-def xml_zones(spark: SparkSession, d: str) -> DataFrame:
-    """Documents of the XML payloads of grants_raw, as the XML source reads them from files."""
-    import pyarrow as pa
+def _xml_folder(spark: SparkSession, d: str) -> str:
+    """The XML payloads of grants_raw written as weekly files, each a folder's one file, as the XML source expects them."""
+    path = scratch_path(spark, "xml")
+    rows = table(spark, d, "grants_raw").filter("fmt = 'xml' AND payload IS NOT NULL").select("file_id", "payload")
+    rows.repartition("file_id").write.partitionBy("file_id").text(path)
+    for folder in list_path(spark, path):  # names of files only
+        if folder.startswith("file_id="):
+            for n, part in enumerate(x for x in list_path(spark, f"{path}/{folder}") if x.startswith("part-")):
+                move_path(spark, f"{path}/{folder}/{part}", f"{path}/{folder}/{n}/ipg{folder[8:]}.xml")
+    return path
 
-    def run(batches):
-        for b in batches:
-            rows = [(r[0], f, *r[1:]) for f, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if p and (r := grant_record(p))]
-            kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.int64())]
-            cols = list(zip(*rows)) or [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], [x.split()[0] for x in DOCS.split(",")])
 
-    return table(spark, d, "grants_raw").filter("fmt = 'xml'").select("file_id", "payload").mapInArrow(run, DOCS)
+def xml_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents read from files of XML records; their claims without white space, which the SQL cannot tell from that between claim texts."""
+    got = corpus.read_patent_xml(spark, _xml_folder(spark, d)).withColumn("claims", F.regexp_replace("claims", "\\s", ""))
+    return got.withColumn("cites", F.array_join(F.col("cites").cast("array<string>"), ","))
 
 
-def stream_index(spark: SparkSession, d: str) -> DataFrame:
-    """Postings of a stored index that two micro-batches of a file stream have built."""
+def xml_rejected(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.rejected_patent_xml(spark, _xml_folder(spark, d))
+
+
+def stop_file(spark: SparkSession, d: str) -> DataFrame:
+    """The stop words read from a text file."""
+    path = scratch_path(spark, "stop-words")
+    table(spark, d, "stop_words").select(F.coalesce("word", F.lit(""))).write.text(path)
+    return spark.createDataFrame([(w,) for w in sorted(corpus.stop_words_file(spark, path))], "word string")
+
+
+def _streamed(spark: SparkSession, d: str) -> index.Index:
+    """The index that two micro-batches of a file stream have built."""
     source, out, at = (scratch_path(spark, f"stream-{x}") for x in ("in", "out", "at"))
     every = docs(spark, d).persist()
     for part in ("doc_id % 2 = 0", "doc_id % 2 = 1"):  # both halves: the second arrives after the first is indexed
         every.filter(part).write.mode("append").parquet(source)
         incremental.index_stream(spark.readStream.schema(DOCS).parquet(source), out, at, stops(spark, d)).awaitTermination()
     every.unpersist()
-    return incremental.read(spark, out, stops(spark, d)).postings.select("token", "doc_id", "ct", "tf")
+    return incremental.read(spark, out, stops(spark, d))
+
+
+def stream_index(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d).postings.select("token", "doc_id", "ct", "tf")
+
+
+def stream_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    return _streamed(spark, d).lexicon
 
 
 def snippet(spark: SparkSession, d: str) -> DataFrame:
@@ -345,14 +383,115 @@ def _prf_rank_sql() -> str:
     )
 
 
+def _nearest(t: str) -> str:
+    return (
+        f"SELECT * FROM (SELECT '{t}' AS token, token AS corrected, CAST(damerau_levenshtein(token, '{t}') AS INTEGER) AS distance, cf FROM lex"
+        f" WHERE starts_with(token, '{t[0]}') AND abs(len(token) - {len(t)}) <= 2 AND damerau_levenshtein(token, '{t}') <= 3 ORDER BY distance, cf DESC, corrected LIMIT 1)"
+    )
+
+
 def _spell_sql() -> str:
-    parts = []
-    for t in (MISSPELT, "vlave", "lazer", "qqqqqq"):
-        parts.append(
-            f"SELECT * FROM (SELECT '{t}' AS token, token AS corrected, CAST(damerau_levenshtein(token, '{t}') AS INTEGER) AS distance, cf FROM lex"
-            f" WHERE starts_with(token, '{t[0]}') AND abs(len(token) - {len(t)}) <= 2 AND damerau_levenshtein(token, '{t}') <= 3 ORDER BY distance, cf DESC, corrected LIMIT 1)"
-        )
-    return f"{BASE} SELECT token, corrected, distance FROM ({' UNION ALL '.join(parts)})"
+    parts = " UNION ALL ".join(_nearest(t) for t in (MISSPELT, "vlave", "lazer", "qqqqqq"))
+    return f"{BASE} SELECT token, corrected, distance FROM ({parts})"
+
+
+def _corrected(t: str) -> str:
+    return f"SELECT corrected FROM ({_nearest(t)})"
+
+
+def _sentence_ctes() -> str:
+    """CTEs sents (doc_id, n, sentence) and offs (also first_token): a mark is set after each end of a sentence, and the text split at it."""
+    marked = "regexp_replace(abstract, '([.!?][''\"]?)(\\s)', '\\1' || chr(1) || '\\2', 'g')"
+    cut = f"list_transform(string_split({marked}, chr(1)), lambda x: trim(regexp_replace(x, '^[.!?\\s]+', ''), ' ' || chr(9) || chr(10) || chr(13)))"
+    return (
+        f"cuts AS (SELECT doc_id, list_filter({cut}, lambda x: x <> '') AS xs FROM docs WHERE abstract IS NOT NULL),"
+        " sents AS MATERIALIZED (SELECT doc_id, CAST(generate_subscripts(xs, 1) - 1 AS INTEGER) AS n, unnest(xs) AS sentence FROM cuts),"
+        " offs AS MATERIALIZED (SELECT *, CAST(coalesce(sum(len(regexp_extract_all(sentence, '[a-zA-Z_-]{2,}'))) OVER"
+        " (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_token FROM sents)"
+    )
+
+
+def _snippet_ctes(ranked: str, hits: str) -> str:
+    """CTEs ending in snip (rank, doc_id, snippet, toks): the cover of two tokens by one sentence or two."""
+    return f"""{_sentence_ctes()},
+    spots AS (SELECT h.doc_id, h.token, h.pos, max(o.n) AS n FROM (SELECT doc_id, token, unnest(positions) AS pos FROM {hits} WHERE ct = 'Abstract') h
+        JOIN offs o ON o.doc_id = h.doc_id AND o.first_token <= h.pos GROUP BY ALL),
+    per AS (SELECT doc_id, n, count(DISTINCT token) AS kinds, count(*) AS total, list_sort(list(DISTINCT token)) AS toks FROM spots GROUP BY doc_id, n),
+    one AS (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY kinds DESC, total DESC, n) = 1),
+    two AS (SELECT p.* FROM per p JOIN one o ON o.doc_id = p.doc_id WHERE len(list_filter(p.toks, lambda x: NOT list_contains(o.toks, x))) > 0
+        QUALIFY row_number() OVER (PARTITION BY p.doc_id ORDER BY p.total DESC, p.n) = 1),
+    snip AS MATERIALIZED (SELECT r.rank, r.doc_id,
+            CASE WHEN one.n IS NULL THEN coalesce(s0.sentence, '') ELSE s1.sentence || CASE WHEN one.n > 0 AND two.n <> one.n + 1 THEN '{snippets.GAP}' ELSE '' END || coalesce(s2.sentence, '') END AS snippet,
+            coalesce(one.toks, []) || list_filter(coalesce(two.toks, []), lambda x: NOT list_contains(one.toks, x)) AS toks
+        FROM {ranked} r LEFT JOIN one ON one.doc_id = r.doc_id LEFT JOIN two ON two.doc_id = r.doc_id LEFT JOIN sents s0 ON s0.doc_id = r.doc_id AND s0.n = 0
+        LEFT JOIN sents s1 ON s1.doc_id = r.doc_id AND s1.n = one.n LEFT JOIN sents s2 ON s2.doc_id = r.doc_id AND s2.n = two.n)"""
+
+
+def _first_ctes() -> str:
+    hits = f"first_hits AS MATERIALIZED (SELECT * FROM post WHERE token IN ('{RARE}', '{OTHER}'))"
+    return f"{BASE}, {hits}, {_score_ctes('first_hits', TOP, 'first_')}, {_snippet_ctes('first_ranked', 'first_hits')}"
+
+
+def _search_prf_sql() -> str:
+    more = (
+        f"more AS MATERIALIZED (SELECT token, count(*) AS n FROM (SELECT unnest({tokens_sql('snippet')}) AS token FROM snip WHERE rank <= 3) t"
+        " WHERE token NOT IN (SELECT w FROM stops) GROUP BY token ORDER BY n DESC, token LIMIT 10)"
+    )
+    hits = f"hits AS MATERIALIZED (SELECT * FROM post WHERE token IN (SELECT token FROM more UNION SELECT '{RARE}' UNION SELECT '{OTHER}'))"
+    first = "SELECT token FROM first_hits WHERE doc_id IN (SELECT doc_id FROM first_ranked)"
+    return f"{_first_ctes()}, {more}, {hits}, {_score_ctes('hits', TOP, '', first)} SELECT rank, doc_id, round(score, 6) AS score FROM ranked"
+
+
+def _search_corrected_sql() -> str:
+    hits = f"hits AS MATERIALIZED (SELECT * FROM post WHERE token = '{OTHER}' OR token = ({_corrected(MISSPELT)}))"
+    return f"{BASE}, {hits}, {_score_ctes('hits', TOP)} SELECT rank, doc_id, round(score, 6) AS score, '{MISSPELT}' AS original, ({_corrected(MISSPELT)}) AS corrected FROM ranked"
+
+
+def _marked(text: str, tokens: str) -> str:
+    """A text with the sample words among its tokens highlighted."""
+    for w in sorted((RARE, OTHER)):
+        text = f"CASE WHEN list_contains({tokens}, '{w}') THEN regexp_replace({text}, '\\b({w})\\b', chr(27) || '[32m\\1' || chr(27) || '[39m', 'gi') ELSE {text} END"
+    return text
+
+
+def _format_sql() -> str:
+    titles = "titles AS (SELECT doc_id, list(DISTINCT token) AS toks FROM first_hits WHERE ct = 'Title' GROUP BY doc_id)"
+    shown = f"CAST(s.doc_id AS VARCHAR) || ' ' || {_bold(_marked("coalesce(d.title, '')", 'coalesce(t.toks, [])'))} || chr(10) || {_marked('s.snippet', 's.toks')}"
+    return (
+        f"{_first_ctes()}, {titles} SELECT s.rank, CASE WHEN nullif(d.title, '') IS NULL AND nullif(d.abstract, '') IS NULL THEN CAST(s.doc_id AS VARCHAR) ELSE {shown} END AS text"
+        " FROM snip s JOIN docs d ON d.doc_id = s.doc_id LEFT JOIN titles t ON t.doc_id = s.doc_id"
+    )
+
+
+def _xml_text(path: str) -> str:
+    """The text of all matches of an element path in a record, mark-up taken out and entities replaced."""
+    text = f"array_to_string(regexp_extract_all(body, '{path}', 1), '')"
+    text = f"regexp_replace({text}, '<[^>]*>', '', 'g')"
+    for name, ch in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{ch}')"
+    return f"nullif(replace(replace({text}, chr(2), '<'), chr(3), '&'), '')"
+
+
+def _xml_sql() -> str:
+    """Records by patterns: comments go, character data is kept with its marks replaced, and records without an end are left out."""
+    cdata = "regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
+    pieces = f"list_transform(string_split({cdata}, '<![CDATA['), lambda x, i: CASE WHEN i = 1 THEN x ELSE replace(replace(split_part(x, ']]>', 1), '<', chr(2)), '&', chr(3)) || split_part(x, ']]>', 2) END)"
+    number = "regexp_extract(body, '(?s)<publication-reference>.*?<doc-number>\\s*([0-9]+)\\s*</doc-number>', 1)"
+    cited = "unnest(regexp_extract_all(coalesce(regexp_extract(body, '(?s)<(?:us-)?references-cited>(.*)</(?:us-)?references-cited>', 1), ''), '(?s)<document-id>(.*?)</document-id>', 1))"
+    f = lambda x: f"trim(regexp_extract(c, '<{x}>([^<]*)</{x}>', 1))"
+    keep = f"{f('country')} = 'US' AND {f('kind')} IN ('B1', 'B2') AND try_cast({f('date')} AS INTEGER) > 20110000 AND try_cast({f('date')} AS INTEGER) < 20160000 AND regexp_full_match({f('doc-number')}, '[0-9]+')"
+    inner = lambda outer, x: f"(?s)<{x}(?:\\s[^>]*)?>(.*?)</{x}>"
+    zone = lambda outer: f"coalesce(regexp_extract(whole, '(?s)<{outer}(?:\\s[^>]*)?>(.*)</{outer}>', 1), '')"
+    texts = {"title": ("us-bibliographic-data-grant", inner("", "invention-title")), "abstract": ("abstract", inner("", "p")), "claims": ("claims", inner("", "claim")), "description": ("description", inner("", "p"))}
+    columns = ", ".join(f"{_xml_text(path).replace('body', zone(outer))} AS {z}" for z, (outer, path) in texts.items())
+    columns = columns.replace(" AS claims", " AS spaced") + ", regexp_replace(spaced, '\\s', '', 'g') AS claims"
+    return (
+        f"WITH recs AS MATERIALIZED (SELECT raw_id, file_id, array_to_string({pieces}, '') AS body FROM grants_raw WHERE fmt = 'xml' AND trim(payload, ' ' || chr(10)) LIKE '%</us-patent-grant>'),"
+        f" own AS (SELECT raw_id, file_id, body, body AS whole, try_cast({number} AS BIGINT) AS doc_id FROM recs),"
+        f" links AS (SELECT raw_id, string_agg(CAST(CAST({f('doc-number')} AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS cites FROM"
+        f" (SELECT raw_id, generate_subscripts(xs, 1) AS i, unnest(xs) AS c FROM (SELECT raw_id, {cited[7:-1]} AS xs FROM recs) l) m WHERE {keep} GROUP BY raw_id)"
+        f" SELECT * EXCLUDE (spaced) FROM (SELECT doc_id, file_id, {columns}, coalesce(cites, '') AS cites FROM own LEFT JOIN links USING (raw_id) WHERE doc_id IS NOT NULL) x"
+    )
 
 
 def _citing(doc: int) -> str:
@@ -388,7 +527,9 @@ QUERIES = {
     "bool_or": match(f"{RARE} OR {PREFIX}*"),
     "bool_and": match(f"{RARE} AND {OTHER}"),
     "bool_and_empty": match(f"{RARE} AND qqqqqqqqqq"),
-    "strict_and": match(f"{RARE} AND qqqqqqqqqq", Options(strict_and=True)),
+    "strict_and": match(f"{RARE} AND {PREFIX}*", Options(strict_and=True)),
+    "strict_and_empty": match(f"{RARE} AND qqqqqqqqqq", Options(strict_and=True, correct_spelling=False)),
+    "search_misspelt": match(f"{MISSPELT} {RARE}"),
     "bool_not": match(f"{OTHER} NOT {RARE}"),
     "bool_chain": match(f"{OTHER} NOT {RARE} OR {PREFIX}*"),
     "bool_link": match(f"{OTHER} AND LinkTo:{DOC}"),
@@ -396,7 +537,7 @@ QUERIES = {
     "link_to": match(f"LinkTo:{DOC}"),
     "citation_edges": citation_edges,
     "phrase_2": match('"' + " ".join(PHRASE2) + '"'),
-    "phrase_2_arrays": match('"' + " ".join(PHRASE2) + '"'),
+    "phrase_2_arrays": match('"' + " ".join(PHRASE2) + '"', Options(strict_phrase=True)),
     "phrase_3": match('"' + " ".join(PHRASE3) + '"'),
     "phrase_2_cells": cells('"' + " ".join(PHRASE2) + '"'),
     "strict_phrase": strict_phrase,
@@ -420,8 +561,13 @@ QUERIES = {
     "sentence_map": sentence_map,
     "search": search,
     "snippet": snippet,
+    "search_prf": search_prf,
+    "search_corrected": search_corrected,
     "stream_index": stream_index,
-    "xml_zones": xml_zones,
+    "stream_lexicon": stream_lexicon,
+    "xml_files": xml_files,
+    "xml_rejected": xml_rejected,
+    "stop_file": stop_file,
 }
 
 _POSTED = "SELECT token, doc_id, ct, tf FROM post"
@@ -447,7 +593,9 @@ SQL = {
     "bool_or": f"{BASE} {_docs_of(f"token = '{RARE}' OR starts_with(token, '{PREFIX}')")}",
     "bool_and": f"{BASE} {_docs_of(f"token = '{RARE}'")} INTERSECT {_docs_of(f"token = '{OTHER}'")}",
     "bool_and_empty": f"{BASE} {_docs_of(f"token = '{RARE}'")}",
-    "strict_and": f"{BASE} {_docs_of("token = 'qqqqqqqqqq'")}",
+    "strict_and": f"{BASE} {_docs_of(f"token = '{RARE}'")} INTERSECT {_docs_of(f"starts_with(token, '{PREFIX}')")}",
+    "strict_and_empty": f"{BASE} {_docs_of("token = 'qqqqqqqqqq'")}",
+    "search_misspelt": f"{BASE} {_docs_of(f"token = '{RARE}' OR token = ({_corrected(MISSPELT)})")}",
     "bool_not": f"{BASE} {_docs_of(f"token = '{OTHER}'")} EXCEPT {_docs_of(f"token = '{RARE}'")}",
     "bool_chain": f"{BASE} SELECT doc_id FROM ({_docs_of(f"token = '{OTHER}'")} EXCEPT {_docs_of(f"token = '{RARE}'")}) a UNION {_docs_of(f"starts_with(token, '{PREFIX}')")}",
     "bool_link": f"{BASE} {_docs_of(f"token = '{OTHER}'")} INTERSECT {_citing(DOC)}",
@@ -476,10 +624,23 @@ SQL = {
     "doc_map": f"{BASE} SELECT doc_id, file_id, {', '.join(f"max(CASE WHEN ct = '{z}' THEN len END) AS len_{c}" for z, c in ZONE_COLUMNS.items())}, -1.0::DOUBLE AS page_rank FROM docs JOIN doc_len USING (doc_id) GROUP BY doc_id, file_id",
     "content_lookup": f"WITH {_DOCS} SELECT doc_id, nullif(title, '') AS title, nullif(abstract, '') AS abstract FROM docs WHERE doc_id = {DOC}",
     "highlight": f"WITH {_DOCS} SELECT doc_id, {_bold(f"regexp_replace(title, '\\b({WORD}|{OTHER})\\b', chr(27) || '[32m\\1' || chr(27) || '[39m', 'gi')")} AS title FROM docs",
-    "format_result": f"WITH {_DOCS} SELECT doc_id, CAST(doc_id AS VARCHAR) || ' ' || {_bold("coalesce(title, '')")} || chr(10) || coalesce(abstract, '') AS text FROM docs",
+    "format_result": _format_sql(),
+    "sentences": f"WITH {_DOCS}, {_sentence_ctes()} SELECT doc_id, n, sentence FROM sents",
+    "sentence_offsets": f"WITH {_DOCS}, {_sentence_ctes()} SELECT doc_id, n, first_token FROM offs",
+    "sentence_map": f"{BASE}, {_sentence_ctes()} SELECT h.doc_id, h.pos, max(o.n) AS n FROM (SELECT doc_id, unnest(positions) AS pos FROM post WHERE token = '{WORD}' AND ct = 'Abstract') h"
+    " JOIN offs o ON o.doc_id = h.doc_id AND o.first_token <= h.pos GROUP BY ALL",
+    "snippet": f"{_first_ctes()} SELECT rank, doc_id, snippet, array_to_string(toks, ' ') AS tokens FROM snip",
+    "search_prf": _search_prf_sql(),
+    "search_corrected": _search_corrected_sql(),
+    "xml_files": _xml_sql(),
+    "xml_rejected": "SELECT file_id, count(*) AS n_records, count(*) FILTER (WHERE NOT (trim(payload, ' ' || chr(10)) LIKE '%</us-patent-grant>')"
+    " OR NOT regexp_matches(payload, '(?s)<publication-reference>.*?<doc-number>\\s*[0-9]+\\s*</doc-number>')) AS n_rejected FROM grants_raw WHERE fmt = 'xml' AND payload IS NOT NULL"
+    " AND regexp_matches(payload, '<us-patent-grant[\\s>]') GROUP BY file_id",
+    "stop_file": "SELECT DISTINCT unnest(string_split_regex(lower(trim(word, ' ')), '\\s+')) AS word FROM stop_words WHERE trim(word, ' ') <> ''",
 }
 SQL["doc_total_length"] = f"WITH {_DOCS}, {_ZONED}, {_LEN} SELECT doc_id, CAST(sum(len) AS BIGINT) AS len FROM doc_len GROUP BY doc_id"
 SQL["stream_index"] = SQL["term_freq"]
+SQL["stream_lexicon"] = SQL["coll_freq"]
 # the exploded form of the phrase: positions joined one by one
 SQL["phrase_2_arrays"] = (
     f"{BASE} SELECT DISTINCT a.doc_id FROM occ a JOIN occ b ON b.doc_id = a.doc_id AND b.ct = a.ct AND b.pos = a.pos + 1 WHERE a.token = '{PHRASE2[0]}' AND b.token = '{PHRASE2[1]}'"

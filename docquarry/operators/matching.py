@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.index import Index
@@ -107,27 +107,34 @@ def _within(hits: Hits, docs: DataFrame, how: str) -> Hits:
     return Hits(hits.cells.join(docs, "doc_id", how), hits.links.join(docs, "doc_id", how), hits.corrections)
 
 
-def _meet(sets: list[DataFrame], strict: bool) -> DataFrame:
-    """The intersection of sets of documents in which empty sets are ignored, or not if strict."""
-    out = sets[0]
-    for s in sets[1:]:
-        if strict:
-            out = out.join(s, "doc_id", "left_semi")
-        elif out.isEmpty():
-            out = s
-        elif not s.isEmpty():
-            out = out.join(s, "doc_id", "left_semi")
-    return out
+def _meeting(left: Hits, right: Hits) -> DataFrame:
+    """(doc_id) of the meeting of both sides, in which empty sets are ignored: that of cells, that of links, and then of the two.
+
+    One aggregation tells for each document in which of the four sets it is, and one row over it which sets and meetings are
+    empty, so nothing runs while a query is compiled.
+    """
+    sets = {"cl": left.cells, "cr": right.cells, "ll": left.links, "lr": right.links}
+    told = None
+    for name, df in sets.items():
+        one = df.select("doc_id", *[F.lit(name == x).alias(x) for x in sets])
+        told = one if told is None else told.unionByName(one)
+    flags = told.groupBy("doc_id").agg(*[F.bool_or(x).alias(x) for x in sets])
+    any_of = [F.coalesce(F.bool_or(x), F.lit(False)).alias(f"any_{x}") for x in sets]
+    any_of += [F.coalesce(F.bool_or(F.col(f"{x}l") & F.col(f"{x}r")), F.lit(False)).alias(f"any_{x}") for x in ("c", "l")]
+    every = flags.join(F.broadcast(flags.agg(*any_of)), F.lit(True))  # one row
+
+    def meet(a: Column, b: Column, any_a: Column, any_b: Column) -> Column:
+        return F.when(any_a & any_b, a & b).when(any_a, a).otherwise(b)
+
+    col = F.col
+    cells, links = (meet(col(f"{x}l"), col(f"{x}r"), col(f"any_{x}l"), col(f"any_{x}r")) for x in ("c", "l"))
+    some = [F.when(col(f"any_{x}l") & col(f"any_{x}r"), col(f"any_{x}")).otherwise(col(f"any_{x}l") | col(f"any_{x}r")) for x in ("c", "l")]
+    return every.filter(meet(cells, links, *some)).select("doc_id")
 
 
 def both(left: Hits, right: Hits, strict: bool = False) -> Hits:
     """Documents of both sides. An empty side is ignored, as is an empty meeting of cells or of links, unless strict."""
-    if strict:
-        docs = left.docs().join(right.docs(), "doc_id", "left_semi")
-    else:
-        cells = _meet([h.cells.select("doc_id").distinct() for h in (left, right)], False)
-        links = _meet([h.links.select("doc_id").distinct() for h in (left, right)], False)
-        docs = _meet([cells, links], False)
+    docs = left.docs().join(right.docs(), "doc_id", "left_semi") if strict else _meeting(left, right)
     return _within(union(left, right), docs, "left_semi")
 
 

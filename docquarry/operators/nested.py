@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html.entities import html5
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -107,11 +108,18 @@ def joined(texts: list[tuple[int, str]]) -> str:
     return "".join(x for _, x in sorted(texts))
 
 
-def read_xml(payload: str) -> _Tree:
-    """The tree of a well-formed document; comments count for nothing, CDATA is text. Raises expat.error otherwise."""
+def read_xml(payload: str, foreign: bool = False) -> _Tree:
+    """The tree of a well-formed document; comments count for nothing, CDATA is text. Raises expat.error otherwise.
+
+    Entities that the document declares are replaced. With foreign, a declaration outside the document is taken for granted: of the entities it
+    may declare, those with a public name become their characters, and others stay as they are written.
+    """
     tree, stack = _Tree(), [-1]
     parser = expat.ParserCreate("utf-8")
     parser.buffer_text = True
+    if foreign:
+        parser.UseForeignDTD(True)
+        parser.SkippedEntityHandler = lambda name, is_parameter: None if is_parameter else tree.say(stack[-1], html5.get(f"{name};", f"&{name};"))
 
     def start(name, attributes):
         stack.append(tree.add(name, stack[-1], attributes.get("num")))
@@ -265,14 +273,14 @@ def rows_of(tree: _Tree) -> Iterator[tuple]:
         yield (kind, states[k], numbers[k], parent, words, tree.nums[k], f.get("country"), f.get("doc_number"), f.get("kind_code"), f.get("date"))
 
 
-def parse(payload: str | None, fmt: str | None) -> _Tree | None:
-    """The tree of a payload, or None if it is null, blank or not well-formed. Without a format, "{" begins JSON."""
+def parse(payload: str | None, fmt: str | None, foreign: bool = False) -> _Tree | None:
+    """The tree of a payload, or None if it is null, blank or not well-formed. Without a format, "{" begins JSON. foreign: see ``read_xml``."""
     if payload is None or not payload.strip():
         return None
     if fmt is None:
         fmt = "json" if payload.lstrip().startswith("{") else "xml"
     try:
-        return read_json(payload) if fmt.strip().lower() == "json" else read_xml(payload)
+        return read_json(payload) if fmt.strip().lower() == "json" else read_xml(payload, foreign)
     except (ValueError, expat.ExpatError):
         return None
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquarry.operators.index import Index
 from docquarry.operators.matching import Hits
 from docquarry.schemas import ZONES
+from docquarry.session import materialize
 
 #: Jelinek-Mercer's weight of the collection, and the factor of tokens that feedback added.
 LAMBDA = 0.2
@@ -55,6 +56,7 @@ def score(index: Index, hits: Hits, k: int, original: list[str] | None = None, n
     per_doc = per_token.groupBy("doc_id").agg(F.sum("gain").alias("gain"), F.count("*").alias("n_tokens"))
     docs = coordination(per_doc, k).select("doc_id", "gain").unionByName(hits.links.select("doc_id", F.lit(0.0).alias("gain")))
     docs = docs.groupBy("doc_id").agg(F.max("gain").alias("gain"))  # gains are never negative
+    # only the candidates that remain meet the document map
     out = docs.join(index.doc_map.select("doc_id"), "doc_id", "left_semi").join(F.broadcast(base), F.lit(True))  # base: one row
     total = F.col("gain") + F.col("base")
     if nan_empty_zone:
@@ -64,15 +66,29 @@ def score(index: Index, hits: Hits, k: int, original: list[str] | None = None, n
     return out.select("doc_id", total.alias("score"))
 
 
+def _ranked(rows: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """(rank int, doc_id, score) of the first k rows in an order, or of all if k is negative.
+
+    All rows are numbered without gathering them: they are range-partitioned by the order, numbered within their ranges, and
+    the sizes of the ranges before are added.
+    """
+    if k >= 0:
+        best = rows.orderBy(*order).limit(k)
+        return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "doc_id", "score")
+    spread = materialize(rows.repartitionByRange(*order).select("doc_id", "score", F.spark_partition_id().alias("range")), "ranked")
+    sizes = spread.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("range", before.alias("before"))  # a row per partition
+    at = F.row_number().over(Window.partitionBy("range").orderBy(*order)) + F.col("before")
+    return spread.join(F.broadcast(sizes), "range").select(at.cast("int").alias("rank"), "doc_id", "score")
+
+
 def top(scored: DataFrame, k: int) -> DataFrame:
     """(rank int, doc_id, score): the k best, ties by document number; a negative k keeps all."""
-    order = [F.desc("score"), F.asc("doc_id")]
-    best = scored.orderBy(*order).limit(k) if k >= 0 else scored
-    return best.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "doc_id", "score")
+    return _ranked(scored, [F.desc("score"), F.asc("doc_id")], k)
 
 
 def most_recent(index: Index, hits: Hits, k: int) -> DataFrame:
     """(rank int, doc_id, score null): the k documents with the greatest numbers."""
     docs = hits.docs().join(index.doc_map.select("doc_id"), "doc_id", "left_semi")
-    best = docs.orderBy(F.desc("doc_id")).limit(k) if k >= 0 else docs
-    return best.select(F.row_number().over(Window.orderBy(F.desc("doc_id"))).alias("rank"), "doc_id", F.lit(None).cast("double").alias("score"))
+    return _ranked(docs.withColumn("score", F.lit(None).cast("double")), [F.desc("doc_id")], k)

@@ -14,9 +14,11 @@ MAX_LENGTH_DIFFERENCE, MAX_DISTANCE = 2, 3
 def candidates(lexicon: DataFrame, token: str) -> DataFrame:
     """(token, cf, distance) of tokens with the same first character, a like length and a small distance.
 
-    The native filters prune the lexicon before the distance is computed, in Arrow batches.
+    The native filters prune the lexicon before the distance is computed, in Arrow batches. One of them is the distance without swaps, which is at most
+    twice the other, as a swap is two replacements.
     """
     near = lexicon.filter(F.col("token").startswith(token[:1]) & (F.abs(F.length("token") - len(token)) <= MAX_LENGTH_DIFFERENCE))
+    near = near.filter(F.levenshtein("token", F.lit(token), 2 * MAX_DISTANCE) >= 0)
     return near.select("token", "cf", distance_column("token", F.lit(token)).alias("distance")).filter(F.col("distance") <= MAX_DISTANCE)
 
 

@@ -62,6 +62,15 @@ def remove_path(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def move_path(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a file of the shared folder; the target's folder is made."""
+    fs, p = _file_system(spark, source)
+    _, q = _file_system(spark, target)
+    fs.mkdirs(q.getParent())
+    if not fs.rename(p, q):
+        raise FileExistsError(target)
+
+
 def list_path(spark: SparkSession, path: str) -> list[str]:
     """The names in a folder of the shared folder, sorted; none if there is no such folder."""
     fs, p = _file_system(spark, path)

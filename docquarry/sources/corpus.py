@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,10 +49,17 @@ def _children(tree, at: int, path: tuple[str, ...], below: list[list[int]]) -> l
     return found
 
 
+def stop_words_file(spark: SparkSession, path: str) -> frozenset[str]:
+    """The stop words of a text file, one or more in a line."""
+    lines = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("word"))
+    return stop_words(lines)
+
+
 def grant_record(payload: str) -> tuple | None:
     """(doc_id, title, abstract, claims, description, cites) of one XML record, or None if it is not well-formed or has
-    no numeric document number. All matches of a zone's path are joined without a separator."""
-    tree = parse(payload, "xml")
+    no numeric document number. All matches of a zone's path are joined without a separator. Entities are those the record's
+    declaration names, and the public ones."""
+    tree = parse(payload, "xml", True)
     if tree is None:
         return None
     below: list[list[int]] = [[] for _ in tree.labels]
@@ -82,29 +90,67 @@ def grant_record(payload: str) -> tuple | None:
     return int(value(number[0]).strip()), *zones, cites
 
 
+_DECLARATION = re.compile(rf"<!DOCTYPE\s+{ROW}\b[^\[>]*(?:\[.*?\]\s*)?>", re.S)
+
+
+_BEGIN = re.compile(rf"<{ROW}[\s>]")
+
+
+def whole_record(text: str) -> tuple[str | None, int]:
+    """The record in the text before an end tag, with the declaration before it, and how many records begin there. Those before the last
+    have no end."""
+    begins = [m.start() for m in _BEGIN.finditer(text)]
+    if not begins:
+        return None, 0
+    at = begins[-1]
+    declared = _DECLARATION.search(text, text.rfind("</", 0, at) + 1, at)
+    return f"{declared.group() if declared else ''}{text[at:]}</{ROW}>", len(begins)
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(f, value): the digits of each file's name, and its text up to each end tag of a record."""
+    return (
+        spark.read.option("lineSep", f"</{ROW}>").option("recursiveFileLookup", "true").option("pathGlobFilter", "ipg*xml").text(path)
+        .select(F.regexp_extract(F.input_file_name(), r"ipg(\d+).xml$", 1).alias("f"), "value").filter("f <> ''")
+    )
+
+
+def rejected_patent_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(file_id int, n_records bigint, n_rejected bigint): per file, the records and those ill-formed or without a number,
+    which ``read_patent_xml`` leaves out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = []
+            for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                record, begun = whole_record(text)
+                told += [(int(f), True)] * (begun - 1)
+                if record:
+                    told.append((int(f), grant_record(record) is None))
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in told], pa.int32()), pa.array([x for _, x in told], pa.bool_())], ["file_id", "bad"])
+
+    told = _records(spark, path).mapInArrow(run, "file_id int, bad boolean")
+    return told.groupBy("file_id").agg(F.count("*").alias("n_records"), F.count_if("bad").alias("n_rejected"))
+
+
 def read_patent_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of the files ipg<digits>.xml below a folder.
+    """Documents of the files ipg<digits>.xml below a folder. ``rejected_patent_xml`` counts what it leaves out.
 
     A file is many records, often many whole XML documents one after another, so the text source splits it at the
     records' end tags: large files are read by many tasks.
     """
-    end = f"</{ROW}>"
-    lines = (
-        spark.read.option("lineSep", end).option("recursiveFileLookup", "true").option("pathGlobFilter", "ipg*xml").text(path)
-        .select(F.regexp_extract(F.input_file_name(), r"ipg(\d+).xml$", 1).alias("f"), "value").filter("f <> ''")
-    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in DOCS.split(",")]
         for batch in batches:
             rows = []
             for f, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                at = text.find(f"<{ROW}")
-                got = grant_record(text[at:] + end) if at >= 0 else None
+                record, _ = whole_record(text)
+                got = grant_record(record) if record else None
                 if got:
                     rows.append((got[0], int(f), *got[1:]))
             cols = list(zip(*rows)) or [[]] * len(names)
             kinds = [pa.int64(), pa.int32(), *[pa.string()] * 4, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names)
 
-    return lines.mapInArrow(run, DOCS)
+    return _records(spark, path).mapInArrow(run, DOCS)

@@ -7,6 +7,7 @@ from docquarry.api import Engine
 from docquarry.operators import evaluation, index, matching, pagerank, ranking
 from docquarry.plans.compiler import Options, compile_query
 from docquarry.plans.parser import parse
+from docquarry.sources import corpus
 from docquarry.sources.corpus import DOCS, read_patent_xml
 from docquarry.streaming import incremental
 
@@ -123,6 +124,62 @@ def test_pagerank(spark, docs):
     assert pagerank.pagerank(docs.limit(0), index.build_citations(docs.limit(0))).count() == 0
 
 
+def test_all_results_are_numbered_over_ranges(spark, idx):
+    scored = spark.createDataFrame([(k, float(k * 7 % 50)) for k in range(500)], "doc_id long, score double")
+    got = ranking.top(scored.repartition(5), -1).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 501))
+    assert [(r["score"], r["doc_id"]) for r in got] == sorted(((float(k * 7 % 50), k) for k in range(500)), key=lambda x: (-x[0], x[1]))
+    recent = ranking.most_recent(idx, compile_query(parse("laser"), idx), -1).orderBy("rank").collect()
+    assert [(r["rank"], r["doc_id"]) for r in recent] == [(1, 4), (2, 3), (3, 1)]
+
+
+def test_and_runs_nothing_while_compiled(spark, idx):
+    from docquarry.operators.matching import both, match_link, match_tokens
+
+    sides = [match_tokens(idx, ["laser"]), match_tokens(idx, ["surface"]), match_tokens(idx, ["qqq"]), match_link(idx, 1), match_link(idx, 77)]
+    chained = both(both(both(*sides[:2]), sides[2]), both(sides[3], sides[4]))  # empty sides are ignored
+    assert sorted(r["doc_id"] for r in chained.docs().collect()) == [3]
+    spark.sparkContext.setJobGroup("compile", "")
+    both(both(*sides[:2]), both(*sides[2:4]))
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("compile")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_native_filter_loses_no_candidate(spark):
+    import random
+
+    from docquarry.functions.distance import damerau_levenshtein
+    from docquarry.operators import spelling
+
+    rng = random.Random(4)
+    words = sorted({"v" + "".join(rng.choices("alve", k=rng.randint(2, 6))) for _ in range(300)})
+    lexicon = spark.createDataFrame([(w, 1, 1) for w in words], "token string, cf long, df long")
+    got = {r["token"]: r["distance"] for r in spelling.candidates(lexicon, "vlavae").collect()}
+    assert got == {w: n for w in words if abs(len(w) - 6) <= 2 and (n := damerau_levenshtein(w, "vlavae")) <= 3}
+
+
+def test_corrections_are_of_matched_tokens(spark, idx):
+    engine = Engine(spark, idx)
+    got = engine.search("lasre surface", 5).collect()
+    assert all([tuple(c) for c in r["corrections"]] == [("lasre", "laser")] for r in got) and got
+    assert all(r["corrections"] == [] for r in engine.search("cleaner NOT lasre", 5).collect())
+    with pytest.raises(ValueError):
+        engine.format("laser", -1)
+
+
+def test_lookups_read_part_of_the_stored_index(spark, tmp_path):
+    """A stored table is sorted by its key, so a lookup's filter reaches the scan and leaves out files by their ranges."""
+    rows = [(k, 1, f"word{k:04d} common", "", "", "", [k + 1]) for k in range(0, 3000)]
+    built = index.build(spark.createDataFrame([(k, 1, t.replace("0", "a").replace("1", "b").replace("2", "c"), *rest) for k, _, t, *rest in rows], DOCS))
+    index.save(built, str(tmp_path / "i"))
+    loaded = index.load(spark, str(tmp_path / "i"))
+    plan = loaded.postings.filter("token = 'common'").select("doc_id", "tf")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,common)" in plan and "positions" not in plan.split("ReadSchema")[1]
+    files = [sorted(r["token"] for r in spark.read.parquet(f).select("token").distinct().collect()) for f in loaded.lexicon.inputFiles()]
+    spans = sorted((x[0], x[-1]) for x in files if x)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_ndcg(spark):
     gold = spark.createDataFrame([(k, f"{k:07d}") for k in range(1, 9)], "rank int, doc_id string")
     for p in (1, 3, 20):
@@ -169,6 +226,30 @@ def test_xml_source(spark, tmp_path):
     assert r["description"] == "First bold text."
 
 
+def test_xml_entities_and_rejects(spark, tmp_path):
+    head = '<?xml version="1.0"?>\n<!DOCTYPE us-patent-grant SYSTEM "x.dtd" [<!ENTITY own "declared">\n<!ENTITY pic SYSTEM "a.tif" NDATA TIF>]>\n'
+    text = head + grant("08000001", title="A &alpha; &own; &amp; &unheard; B") + "\n" + head + grant("08000003")[:300] + head + grant("08000004") + "<us-patent-grant><a>"
+    (tmp_path / "ipg110817.xml").write_text(text, encoding="utf-8")
+    got = {r["doc_id"]: r["title"] for r in corpus.read_patent_xml(spark, str(tmp_path)).collect()}
+    assert got == {8000001: "A α declared & &unheard; B", 8000004: "Laser"}
+    assert tuple(corpus.rejected_patent_xml(spark, str(tmp_path)).first()) == (110817, 4, 2)
+    (tmp_path / "stops.txt").write_text("The of\n\n  And the\n")
+    assert corpus.stop_words_file(spark, str(tmp_path / "stops.txt")) == {"the", "of", "and"}
+
+
+def test_stream_of_changed_documents(spark, tmp_path):
+    """A document that comes again takes its former counts out of the lexicon."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[(1, 1, "aa bb", "aa", "", "", None), (2, 1, "bb", "", "", "", [1])], [(1, 1, "cc bb", "", "", "", [2])], [(3, 1, "aa", "", "", "", None), (2, 1, "dd", "", "", "", None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, DOCS).write.mode("append").parquet(source)
+        incremental.index_stream(spark.readStream.schema(DOCS).parquet(source), path, str(tmp_path / "cp")).awaitTermination()
+    whole, got = index.build(spark.createDataFrame([batches[1][0], *batches[2]], DOCS)), incremental.read(spark, path)
+    for name in ("lexicon", "stats", "doc_map", "citations"):
+        a, b = (getattr(x, name) for x in (got, whole))
+        assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())), name
+
+
 def test_streaming(spark, docs, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     plain = spark.createDataFrame(ROWS, DOCS)
