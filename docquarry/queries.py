@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquarry import engine_queries
+from docquarry import engine_queries, nested_sql
 from docquarry.operators import nested, references
 from docquarry.session import scratch_path, table
 
@@ -82,6 +82,7 @@ QUERIES: dict = {
 }
 SQL: dict[str, str] = {
     **engine_queries.SQL,
+    **nested_sql.SQL,
     "p2_found": P2_CASES,
     "p2_report": "SELECT ref_table, period, count(*) AS n_references, count(DISTINCT missing_id) AS n_missing FROM ("
     + P2_CASES
