@@ -119,6 +119,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spampages.spam_pages(table(spark, d, "documents"), "doc_id", "text", "lang", prose).select("doc_id")
 
 
+def p9_curves(spark: SparkSession, d: str) -> DataFrame:
+    """The rank-frequency curves of all documents."""
+    got = spampages.rank_curves(table(spark, d, "documents"), "doc_id", "text")
+    return got.select("doc_id", "n_terms", F.round("slope", 6).alias("slope"), F.round("residual", 6).alias("residual"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_counts": p1_counts,
@@ -134,6 +140,7 @@ QUERIES = {
     "p8_packed": p8_packed,
     "p8_proof": p8_proof,
     "p9_found": p9_found,
+    "p9_curves": p9_curves,
 }
 
 _ZONE_TOKENS = " || ".join(f"coalesce({tokens_sql(z)}, [])" for z in ZONES)
@@ -179,7 +186,20 @@ _P5_GROUPS = _P5_PAIRS.replace("WITH docs", "WITH RECURSIVE docs").replace(")\n
     degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
     SELECT doc_id, class_id, group_id, CAST(coalesce(n, 0) AS INTEGER) AS n_links FROM classes JOIN groups g ON g.a = class_id LEFT JOIN degrees d ON d.a = class_id"""
 
+#: A term is a run of letters, or one character of a script without blanks; terms of equal frequency share the mean of their ranks.
+_UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+_P9_CURVES = rf"""
+    WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(lower(text), '([{_UNSPACED}])', ' \1 ', 'g'), '[\p{{L}}\p{{M}}{_UNSPACED}]+')) AS term FROM documents WHERE trim(text, ' ') <> ''),
+    freq AS (SELECT doc_id, term, count(*) AS f FROM terms GROUP BY ALL),
+    spectrum AS (SELECT doc_id, f, count(*) AS m FROM freq GROUP BY ALL),
+    points AS (SELECT *, ln(sum(m) OVER (PARTITION BY doc_id ORDER BY f DESC ROWS UNBOUNDED PRECEDING) - (m - 1) / 2) AS x, ln(f) AS y FROM spectrum),
+    sums AS (SELECT doc_id, CAST(sum(f * m) AS INTEGER) AS n_terms, sum(m) AS w, sum(m * x) AS sx, sum(m * y) AS sy, sum(m * x * x) AS sxx, sum(m * x * y) AS sxy, sum(m * y * y) AS syy FROM points GROUP BY doc_id),
+    v AS (SELECT *, sxx - sx * sx / w AS vx, sxy - sx * sy / w AS vxy, syy - sy * sy / w AS vy FROM sums)
+    SELECT doc_id, n_terms, round(CASE WHEN vx > 1e-9 THEN vxy / vx ELSE 0 END, 6) AS slope,
+        round(sqrt(greatest(CASE WHEN vx > 1e-9 THEN greatest(vy - vxy * vxy / vx, 0) / w ELSE vy / w END, 0)), 6) AS residual FROM v"""
+
 SQL = {
+    "p9_curves": _P9_CURVES,
     "p4_cover": _P4_COVER,
     "p5_found": _P5_PAIRS,
     "p5_groups": _P5_GROUPS,
