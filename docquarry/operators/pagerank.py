@@ -10,7 +10,7 @@ from docquarry.session import materialize
 #: Fixed values.
 DAMPING, ITERATIONS = 0.85, 45
 #: Iterations between written tables, which cut the lineage.
-EVERY = 9
+EVERY = 5
 
 
 def pagerank(docs: DataFrame, citations: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
