@@ -13,7 +13,7 @@ from docquarry.functions import snippets
 from docquarry.functions.distance import distance_column
 from docquarry.functions.stemmer import stem_column
 from docquarry.functions.text import tokens_sql
-from docquarry.operators import evaluation, feedback, index, pagerank, ranking, spelling
+from docquarry.operators import evaluation, feedback, index, pagerank, postings, ranking, spelling
 from docquarry.plans.compiler import Options, compile_query
 from docquarry.plans.parser import parse
 from docquarry.schemas import ZONE_COLUMNS, ZONES
@@ -502,7 +502,24 @@ def _bold(text: str) -> str:
     return f"chr(27) || '[1m' || {text} || chr(27) || '[22m'".replace("[22m", snippets.BOLD_OFF[1:])
 
 
+def postings_put(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase's cells put over those of a word: the phrase keeps a word in fewer zones."""
+    idx = stored(spark, d)
+    one, two = (compile_query(parse(t), idx).cells for t in (f"{PHRASE2[0]} {RARE}", '"' + " ".join(PHRASE2) + '"'))
+    return postings.put_all(one, two).select("token", "doc_id", "ct", "tf")
+
+
+def postings_removed(spark: SparkSession, d: str) -> DataFrame:
+    cells = compile_query(parse(f"{WORD} {OTHER} {RARE}"), stored(spark, d)).cells
+    return postings.remove(postings.remove(postings.remove(cells, token=OTHER), doc_id=DOC), WORD, DOC + 1).select("token", "doc_id", "ct", "tf")
+
+
 QUERIES = {
+    "postings_put": postings_put,
+    "postings_removed": postings_removed,
+    "postings_sizes": lambda s, d: postings.sizes(stored(s, d).postings),
+    "token_sets": lambda s, d: postings.token_sets(stored(s, d).postings).withColumn("tokens", F.array_join("tokens", " ")),
+    "document_range": lambda s, d: postings.document_range(docs(s, d)),
     "tokenize": tokenize,
     "stopword_filter": stopword_filter,
     "doc_length": doc_length,
@@ -572,6 +589,12 @@ QUERIES = {
 
 _POSTED = "SELECT token, doc_id, ct, tf FROM post"
 SQL = {
+    "postings_put": f"{BASE}, {_phrase_cells(PHRASE2)}, two AS (SELECT token, doc_id, ct, tf FROM s0 WHERE doc_id IN (SELECT doc_id FROM s1) UNION ALL SELECT token, doc_id, ct, tf FROM s1)"
+    f" SELECT * FROM two UNION ALL {_POSTED} WHERE token IN ('{PHRASE2[0]}', '{RARE}') AND (token, doc_id) NOT IN (SELECT (token, doc_id) FROM two)",
+    "postings_removed": f"{BASE} {_POSTED} WHERE token IN ('{WORD}', '{RARE}') AND doc_id <> {DOC} AND NOT (token = '{WORD}' AND doc_id = {DOC + 1})",
+    "postings_sizes": f"{BASE} SELECT count(DISTINCT token) AS n_tokens, count(DISTINCT doc_id) AS n_docs, count(DISTINCT (token, doc_id)) AS n_cells, CAST(coalesce(sum(tf), 0) AS BIGINT) AS occurrences FROM post",
+    "token_sets": f"{BASE} SELECT doc_id, string_agg(DISTINCT token, ' ' ORDER BY token) AS tokens FROM post GROUP BY doc_id",
+    "document_range": f"WITH {_DOCS} SELECT min(doc_id) AS first_id, max(doc_id) AS last_id, count(DISTINCT doc_id) AS n_docs FROM docs",
     "tokenize": f"WITH {_DOCS}, {_ZONED}, {_ALL} SELECT token, doc_id, ct, pos FROM everything",
     "stopword_filter": f"{BASE} SELECT token, doc_id, ct, pos FROM occ",
     "doc_length": f"WITH {_DOCS}, {_ZONED}, {_LEN} SELECT * FROM doc_len",

@@ -88,14 +88,19 @@ def match_phrase(index: Index, tokens: list[str], strict: bool = False) -> Hits:
     return Hits(out.select(*CELLS).distinct(), _no_links(index))
 
 
-def union(*parts: Hits) -> Hits:
+def latest(*parts: DataFrame) -> DataFrame:
     """Cells of all parts; where several hold a (token, document), all its zones come from the last of them."""
     told = None
-    for n, p in enumerate(parts):
-        one = p.cells.withColumn("part", F.lit(n))
+    for n, cells in enumerate(parts):
+        one = cells.withColumn("part", F.lit(n))
         told = one if told is None else told.unionByName(one)
     w = Window.partitionBy("token", "doc_id")
-    cells = told.withColumn("top", F.max("part").over(w)).filter("part = top").select(*CELLS)
+    return told.withColumn("top", F.max("part").over(w)).filter("part = top").select(*CELLS)
+
+
+def union(*parts: Hits) -> Hits:
+    """The cells of all parts, the last winning, and their links."""
+    cells = latest(*[p.cells for p in parts])
     links = parts[0].links
     for p in parts[1:]:
         links = links.unionByName(p.links)

@@ -180,6 +180,20 @@ def test_lookups_read_part_of_the_stored_index(spark, tmp_path):
     assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
 
 
+def test_postings_algebra(idx):
+    from docquarry.operators import postings as P
+
+    cells = compile_query(parse("laser surface"), idx).cells
+    assert P.contains(cells, "laser") and P.contains(cells, doc_id=2) and P.contains(cells, "surface", 2) and not P.contains(cells, "laser", 2)
+    less = P.remove(cells, "laser")
+    assert not P.contains(less, "laser") and P.contains(P.remove(cells, "laser", 1), "laser") and P.remove(cells).count() == cells.count()
+    one = cells.filter("ct = 'Title'")
+    put = P.put_all(cells, one)
+    assert put.filter("token = 'laser' AND doc_id = 1").count() == 1 and put.filter("token = 'surface' AND doc_id = 3").count() == 2
+    assert tuple(P.sizes(cells.limit(0)).first()) == (0, 0, 0, 0)
+    assert {r["doc_id"]: r["tokens"] for r in P.token_sets(cells).collect()}[2] == ["surface"]
+
+
 def test_ndcg(spark):
     gold = spark.createDataFrame([(k, f"{k:07d}") for k in range(1, 9)], "rank int, doc_id string")
     for p in (1, 3, 20):
