@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquarry.api import Engine
-from docquarry.functions import snippets
+from docquarry.functions import snippets, stemmer
 from docquarry.functions.distance import distance_column
 from docquarry.functions.stemmer import stem_column
 from docquarry.functions.text import tokens_sql
@@ -20,6 +20,7 @@ from docquarry.schemas import ZONE_COLUMNS, ZONES
 from docquarry.session import list_path, move_path, scratch_path, table
 from docquarry.sources import corpus
 from docquarry.sources.corpus import DOCS, patent_docs, stop_words
+from docquarry.stem_sql import stem_ctes
 from docquarry.streaming import incremental
 
 #: Terms of the sample queries.
@@ -223,10 +224,11 @@ def sentence_map(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search(spark: SparkSession, d: str) -> DataFrame:
-    """The whole path: stemmed index stored and loaded, mixed query with feedback, snippets."""
+    """The whole path: stemmed index stored and loaded, mixed query, snippets."""
     path = scratch_path(spark, "index")
     engine = Engine.index(docs(spark, d), path, stops(spark, d))
-    return engine.search(f'"{PHRASE2[0]} {PHRASE2[1]}" {OTHER} #3').drop("tokens")
+    got = engine.search(f'"{PHRASE2[0]} {PHRASE2[1]}" {OTHER}', TOP)
+    return got.select("rank", "doc_id", F.round("score", 6).alias("score"), "title")
 
 
 def _xml_folder(spark: SparkSession, d: str) -> str:
@@ -301,6 +303,10 @@ _POST = "post AS MATERIALIZED (SELECT token, doc_id, ct, CAST(count(*) AS INTEGE
 _LEX = "lex AS MATERIALIZED (SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM post GROUP BY token)"
 _LEN = "doc_len AS MATERIALIZED (SELECT doc_id, ct, CAST(len(toks) AS INTEGER) AS len FROM zoned)"
 _CITES = "links AS MATERIALIZED (SELECT DISTINCT doc_id AS src, dst FROM (SELECT doc_id, unnest(cites) AS dst FROM docs) c WHERE dst > 0)"
+_STEMMED = (
+    stem_ctes("SELECT token FROM lex") + ", spost AS MATERIALIZED (SELECT stem AS token, doc_id, ct, CAST(count(*) AS INTEGER) AS tf, list(pos ORDER BY pos) AS positions"
+    " FROM occ JOIN stems USING (token) WHERE stem <> '' GROUP BY stem, doc_id, ct), slex AS MATERIALIZED (SELECT token, count(*) AS cf, count(DISTINCT doc_id) AS df FROM spost GROUP BY token)"
+)
 BASE = "WITH " + ", ".join([_DOCS, _STOPS, _ZONED, _ALL, _OCC, _POST, _LEX, _LEN, _CITES])
 
 
@@ -447,6 +453,14 @@ def _search_corrected_sql() -> str:
     return f"{BASE}, {hits}, {_score_ctes('hits', TOP)} SELECT rank, doc_id, round(score, 6) AS score, '{MISSPELT}' AS original, ({_corrected(MISSPELT)}) AS corrected FROM ranked"
 
 
+def _search_sql() -> str:
+    one, two, other = (stemmer.stem(w) for w in (*PHRASE2, OTHER))
+    cells = _phrase_cells((one, two)).replace("FROM post", "FROM spost")
+    hits = f"hits AS MATERIALIZED (SELECT * FROM s0 WHERE doc_id IN (SELECT doc_id FROM s1) UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM spost WHERE token = '{other}')"
+    scored = _score_ctes("hits", TOP).replace("FROM lex", "FROM slex")
+    return f"{BASE}, {_STEMMED}, {cells}, {hits}, {scored} SELECT rank, doc_id, round(score, 6) AS score, nullif(title, '') AS title FROM ranked JOIN docs USING (doc_id)"
+
+
 def _marked(text: str, tokens: str) -> str:
     """A text with the sample words among its tokens highlighted."""
     for w in sorted((RARE, OTHER)):
@@ -652,6 +666,9 @@ SQL = {
     "sentence_offsets": f"WITH {_DOCS}, {_sentence_ctes()} SELECT doc_id, n, first_token FROM offs",
     "sentence_map": f"{BASE}, {_sentence_ctes()} SELECT h.doc_id, h.pos, max(o.n) AS n FROM (SELECT doc_id, unnest(positions) AS pos FROM post WHERE token = '{WORD}' AND ct = 'Abstract') h"
     " JOIN offs o ON o.doc_id = h.doc_id AND o.first_token <= h.pos GROUP BY ALL",
+    "stem": f"{BASE}, {stem_ctes('SELECT token FROM lex')} SELECT token, stem FROM stems",
+    "stemmed_lexicon": f"{BASE}, {_STEMMED} SELECT token, cf, df FROM slex",
+    "search": _search_sql(),
     "snippet": f"{_first_ctes()} SELECT rank, doc_id, snippet, array_to_string(toks, ' ') AS tokens FROM snip",
     "search_prf": _search_prf_sql(),
     "search_corrected": _search_corrected_sql(),

@@ -59,3 +59,18 @@ def test_cover_ends():
         places = {k: {t: rng.randint(1, 3) for t in rng.sample("abcdef", rng.randint(1, 4))} for k in range(6)}
         chosen = snippets.cover(places)
         assert {t for k in chosen for t in places[k]} == {t for p in places.values() for t in p}
+
+
+def test_stems_equal_the_sql_chain(duck):
+    import random
+
+    from docquarry.functions.stemmer import EXCEPTIONS, STEP2, STEP3, STEP4, stem
+    from docquarry.stem_sql import stem_ctes
+
+    rng = random.Random(7)
+    ends = [*STEP2, *STEP3, *STEP4, "ogi", "li", "ative", "ion", "sses", "ied", "edly", "eedly", "ing", "y", "e", "ll", "us", ""]
+    words = {"".join(rng.choices("aeiouybcdlmnrst", k=rng.randint(1, 6))) + rng.choice(ends) + rng.choice(["", "s", "ed"]) for _ in range(5000)} | set(EXCEPTIONS)
+    words |= {head + end for head in ("gener", "commun", "arsen", "say-", "_x") for end in ends}
+    rows = ", ".join(f"('{w}')" for w in sorted(words))
+    got = dict(duck.sql(f"WITH v(token) AS (VALUES {rows}), {stem_ctes('SELECT token FROM v')} SELECT token, stem FROM stems").fetchall())
+    assert got == {w: stem(w) for w in words}
