@@ -121,10 +121,10 @@ _GERMAN = re.compile(rf"\b(?:{'|'.join(sorted(_STOPS['de']))})\b", re.I)
 
 
 class _Language:
-    """The likeliest Latin-script language of a text, found when first asked for: few texts need it."""
+    """The likeliest Latin-script language of a text, found when first asked for: few texts need it; and the words learned from the corpus."""
 
-    def __init__(self, text: str):
-        self.text, self.name = text, ""
+    def __init__(self, text: str, learned: dict[str, str]):
+        self.text, self.name, self.learned = text, "", learned
 
     def is_german(self) -> bool:
         if not self.name:
@@ -169,7 +169,7 @@ def _closing(text: str, begin: int, at: int, language: _Language) -> str:
         return "never"
     if script(word[-1]) == "Deva" and len(word) < 4:
         return "never"
-    return "strong"
+    return language.learned.get(word, "strong")
 
 
 def _opening(text: str, at: int, end: int) -> tuple[str, str]:
@@ -373,9 +373,9 @@ def _stops(text: str, a: int, b: int, language: _Language) -> Iterator[tuple[int
             yield last, s
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the sentences of a text, in order, without white space at their ends."""
-    language = _Language(text)
+def sentences(text: str, learned: dict[str, str] | None = None) -> list[tuple[int, int]]:
+    """(start, end) of the sentences of a text, in order, without white space at their ends. learned: classes of closing words, as ``learn`` finds them."""
+    language = _Language(text, learned or {})
     starts: list[int] = []
     ends: list[int] = []
     scores: list[float] = []
@@ -439,12 +439,57 @@ def _best_spans(starts: list[int], ends: list[int], scores: list[float], depths:
     return out[::-1]
 
 
+#: A word before a period, and what follows: a mark that goes on, or the first character after blanks.
+_CONTEXT = re.compile(rf"((?:{_L}\.)*{_L}{{2,{LONGEST}}})\.(?=([,;:])|\s+(\S))")
+#: A word is learned as an abbreviation if it was seen so often before a period, and so large a share of these went on: with a small letter or a mark,
+#: or with a number.
+SEEN, GOES_ON = 50, 0.6
+MOST_LEARNED = 100_000
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial (word, n, n_on, n_number) of a partition, sent on whenever many words have gathered."""
+    held: dict[str, list[int]] = {}
+
+    def out():
+        rows = list(held.values())
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(3))], ["word", "n", "n_on", "n_number"])
+
+    for batch in batches:
+        for column in batch.columns:
+            for text in column.to_pylist():
+                for word, mark, follows in _CONTEXT.findall(text or ""):
+                    told = held.setdefault(word.lower(), [0, 0, 0])
+                    told[0] += 1
+                    told[1] += bool(mark) or follows.islower()
+                    told[2] += follows.isdigit()
+        if len(held) > 200_000:
+            yield out()
+            held.clear()
+    yield out()
+
+
+def learn(df: DataFrame, zones: dict[str, str]) -> dict[str, str]:
+    """Abbreviations of a corpus, with their classes, from counts of what follows a word and a period in all its texts.
+
+    What mostly goes on with a number is ``numbered``, with a small letter or a mark ``maybe``. The lists of the module come before it. At most
+    MOST_LEARNED words, the most frequent, are sent to the driver.
+    """
+    schema = "word string, n bigint, n_on bigint, n_number bigint"
+    counts = df.select(*zones).mapInArrow(_contexts, schema).groupBy("word").agg(*[F.sum(c).alias(c) for c in ("n", "n_on", "n_number")])
+    known = counts.filter((F.col("n") >= SEEN) & (F.col("n_on") + F.col("n_number") >= GOES_ON * F.col("n")))
+    rows = known.orderBy(F.desc("n"), "word").limit(MOST_LEARNED).collect()
+    return {r["word"]: "numbered" if r["n_number"] > r["n_on"] else "maybe" for r in rows}
+
+
 def split(df: DataFrame, key: str, zones: dict[str, str]) -> DataFrame:
     """(key, ct, start_pos int, end_pos int) of the sentences of the zone columns; zones: column to its name.
 
-    One narrow stage: no shuffle; a long text is worked through in memory of its own size. Repeated
+    Abbreviations are learned from all texts first, by counts that are combined before their shuffle; then one narrow stage splits without a
+    shuffle. A long text is worked through in memory of its own size. Repeated
     rows give repeated units; a null key is kept.
     """
+    sent = df.sparkSession.sparkContext.broadcast(learn(df, zones))  # MOST_LEARNED words at most
     kind = df.schema[key].dataType.simpleString()
     names = list(zones.values())
 
@@ -456,7 +501,7 @@ def split(df: DataFrame, key: str, zones: dict[str, str]) -> DataFrame:
                 ids = part.column(0).to_pylist()
                 for c, ct in enumerate(names, 1):
                     for k, text in zip(ids, part.column(c).to_pylist()):
-                        for a, b in sentences(text) if text else ():
+                        for a, b in sentences(text, sent.value) if text else ():
                             keys.append(k)
                             cts.append(ct)
                             starts.append(a)

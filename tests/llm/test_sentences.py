@@ -113,6 +113,18 @@ def test_long_text_is_linear():
     assert len(sentences(text)) == 20_000
 
 
+def test_abbreviations_are_learned(spark):
+    """Words that no list holds: what goes on with numbers or small letters after a period is learned, what ends sentences is not."""
+    rows = [(k, f"See blk. {k} of the plan. The qty. of parts is fixed. It rests on the frame. Next {k}.") for k in range(60)]
+    df = spark.createDataFrame(rows, "row long, abstract string").withColumn("word", F.lit(1))
+    learned = S.learn(df, {"abstract": "Abstract"})
+    assert learned == {"blk": "numbered", "qty": "maybe"}
+    text = "It is in blk. 7 there. The qty. 4 is left. So it rests on the frame. 9 are left."
+    assert [text[a:b] for a, b in sentences(text)] != [text[a:b] for a, b in sentences(text, learned)]
+    assert [text[a:b] for a, b in sentences(text, learned)][0] == "It is in blk. 7 there."
+    assert S.learn(df.limit(0), {"abstract": "Abstract"}) == {}
+
+
 def test_table(spark):
     rows = [(1, "One. Two.", None), (1, "One. Two.", None), (None, "", "Three!"), (2, "  ", "Abc\U0001d11e. So it is.")]
     df = spark.createDataFrame(rows, "row long, abstract string, description string").withColumns({"key": F.lit(1), "ct": F.lit("x"), "z0": F.lit(1)})
