@@ -5,7 +5,7 @@ each made of the low bits of 4 min-hashes of that set; edits of a text that keep
 bits. A word is decoded to the indices of the Golay codewords nearest to it and to its neighbours:
 several keys, of which two words with few flips share one.
 
-One index has 12 bits, too coarse for a large collection, so segments are taken in groups of three and a key
+One index has 12 bits, too coarse for a large collection, so segments are taken in groups of six and a key
 joins the indices of two neighbouring segments of a group. The flips of a pair at the similarity sought cannot
 be many in every group (pigeonhole): in some group one word of the two is nearly the same, and the
 other near enough to share an index. So of the two words of a key only one is taken with all its
@@ -18,7 +18,7 @@ pairs of blocks, so no task gets an unbounded group.
 Equal texts are one class throughout: only its representative takes part, so a group of copies of
 any size costs as much as one record.
 
-Simulated, a pair at similarity 0.6 is found with probability 0.99, at 0.65 with 0.999.
+Simulated, a pair at similarity 0.6 is found with probability 0.99, at 0.65 with 0.997.
 """
 
 from __future__ import annotations
@@ -41,8 +41,9 @@ SEGMENTS = 48
 #: Bits that a word takes of each of its min-hashes.
 BITS = (6, 6, 6, 5)
 HASHES = SEGMENTS * len(BITS)
-#: Pairs of segments whose indices make keys: two of each group of three.
-FIRST = np.array([k for k in range(SEGMENTS) if k % 3 < 2])
+#: Pairs of segments whose indices make keys: the five neighbours of each group of six.
+GROUP = 6
+FIRST = np.array([k for k in range(SEGMENTS) if k % GROUP < GROUP - 1])
 PAIRS = len(FIRST)
 #: The sketch has two bits of each min-hash. A pair at the similarity sought flips 76.8 of them on average, with a deviation of 9.2;
 #: what flips more than five deviations more is not verified.
@@ -51,6 +52,8 @@ SKETCH_WORDS, SKETCH_FLIPS = HASHES * 2 // 64, 123
 BLOCK = 1000
 #: Parts in which the first keys of classes with copies are joined.
 SALTS = 16
+#: Nodes with many links that are joined by broadcast (16 bytes each).
+MOST_HUBS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: The base of a run's polynomial, and its square and fourth power.
@@ -291,20 +294,30 @@ def _members(prints: DataFrame) -> DataFrame:
     return docs.withColumn("salt", salt).join(copied, ["class", "salt"], "left").select("doc", "class", F.coalesce("first", "doc").alias("first"))
 
 
+def _beside(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the value m of their u. Nodes of many edges are joined by broadcast, so the edges of a giant component's least node stay spread;
+    there are at most as many such nodes as edges / BLOCK, and beyond MOST_HUBS of them the join of all is left to Spark's own splitting."""
+    hubs = materialize(least.filter(F.col("n") > BLOCK).select("u", "m"), "hubs")
+    if not 0 < hubs.count() <= MOST_HUBS:
+        return edges.join(least.select("u", "m"), "u")
+    marked = edges.join(F.broadcast(hubs), "u", "left")
+    rest = marked.filter("m IS NULL").select("u", "v").join(least.filter(F.col("n") <= BLOCK).select("u", "m"), "u")
+    return marked.filter("m IS NOT NULL").select("u", "v", "m").unionByName(rest.select("u", "v", "m"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node of the connected component of each node, by alternating large and small stars.
 
-    Every round is written to the shared folder; rounds grow with the logarithm of the number of nodes.
+    Every round is written to the shared folder. Labels only fall, so the rounds end; they grow with the logarithm of the number of nodes.
     """
     edges = materialize(links.select(F.col("doc_b").alias("u"), F.col("doc_a").alias("v")), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = _beside(both, materialize(least, "least")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
-        new = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        new = _beside(large, low).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(new.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         if not new.join(edges, ["u", "v"], "left_anti").count() and new.count() == edges.count():
             break

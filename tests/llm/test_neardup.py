@@ -130,6 +130,13 @@ def test_empty_table(spark):
     assert near.pairs().count() == 0 and near.groups().count() == 0
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    links = [(1, k) for k in range(2, 20)] + [(k, k + 1) for k in range(30, 60)] + [(19, 30), (70, 71)]
+    got = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(links, "doc_a long, doc_b long")).collect()}
+    assert all(got[k] == 1 for k in [*range(2, 20), *range(30, 61)]) and got[71] == 70
+
+
 def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (50, 101)]
     got = {r["node"]: r["label"] for r in N.components(spark.createDataFrame(links, "doc_a long, doc_b long")).collect()}
