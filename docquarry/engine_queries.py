@@ -573,6 +573,7 @@ QUERIES = {
     "phrase_2_cells": cells('"' + " ".join(PHRASE2) + '"'),
     "strict_phrase": strict_phrase,
     "mixed_query": cells(f'"{PHRASE2[0]} {PHRASE2[1]}" {RARE} {PHRASE2[0]}'),
+    "mixed_words_first": cells(f'{RARE} "{PHRASE2[0]} {PHRASE2[1]}" #2'),
     "coord_level": coord_level,
     "rank_ql": rank(f"{RARE} {OTHER} {WORD}"),
     "rank_ql_prefix": rank(f"{RARE} {PREFIX}*"),
@@ -646,6 +647,7 @@ SQL = {
     "strict_phrase": f"{BASE} SELECT DISTINCT a.doc_id FROM occ a JOIN occ b ON b.doc_id = a.doc_id AND b.ct = a.ct AND b.pos = a.pos + 1 JOIN occ c ON c.doc_id = a.doc_id AND c.ct = a.ct AND c.pos = a.pos + 2"
     f" WHERE a.token = '{PHRASE3[0]}' AND b.token = '{PHRASE3[1]}' AND c.token = '{PHRASE3[2]}'",
     "mixed_query": f"{BASE}, {_phrase_cells(PHRASE2)} SELECT token, doc_id, ct, tf FROM s1 UNION ALL SELECT token, doc_id, ct, tf FROM post WHERE token IN ('{RARE}', '{PHRASE2[0]}')",
+    "mixed_words_first": f"{BASE}, {_phrase_cells(PHRASE2)} SELECT token, doc_id, ct, tf FROM s0 WHERE doc_id IN (SELECT doc_id FROM s1) UNION ALL SELECT token, doc_id, ct, tf FROM s1 UNION ALL {_POSTED} WHERE token = '{RARE}'",
     "coord_level": f"{BASE} SELECT doc_id, n_tokens FROM (SELECT *, rank() OVER (ORDER BY n_tokens DESC) AS r FROM (SELECT doc_id, count(DISTINCT token) AS n_tokens FROM post"
     f" WHERE token IN ('{WORD}', '{OTHER}', '{RARE}') OR starts_with(token, '{PREFIX}') GROUP BY doc_id) a) b WHERE r <= {TOP}",
     "rank_ql": _rank_sql(f"token IN ('{RARE}', '{OTHER}', '{WORD}')"),
