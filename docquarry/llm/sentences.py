@@ -439,14 +439,26 @@ def _best_spans(starts: list[int], ends: list[int], scores: list[float], depths:
     return out[::-1]
 
 
-#: A word before a period, and what follows: a mark that goes on, or the first character after blanks.
-_CONTEXT = re.compile(rf"((?:{_L}\.)*{_L}{{2,{LONGEST}}})\.(?=([,;:])|\s+(\S))")
+#: A period and what follows: a mark that goes on, or the first character after blanks.
+_CONTEXT = re.compile(r"\.(?=([,;:])|\s+(\S))")
 #: A word is learned as an abbreviation if it was seen so often before a period, and so large a share of these went on: with a small letter or a mark,
 #: or with a number.
 SEEN, GOES_ON = 50, 0.6
 MOST_LEARNED = 100_000
 
 
+def _closed(text: str) -> Iterator[tuple[str, str]]:
+    """(word, character) of each word of two letters or more before a period, and the mark or first character that follows. Periods are
+    looked for, as they are few, and the word before each."""
+    for m in _CONTEXT.finditer(text):
+        at = m.start()
+        if at and text[at - 1].isalpha():
+            before = text[max(0, at - LONGEST) : at]
+            word = _LAST_WORD.search(before, max(before.rfind(" "), before.rfind("\n")) + 1)
+            if word and len(word.group()) > 1:
+                yield word.group().lower(), m[1] or m[2]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial (word, n, n_on, n_number) of a partition, sent on whenever many words have gathered."""
     held: dict[str, list[int]] = {}
@@ -458,10 +470,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for column in batch.columns:
             for text in column.to_pylist():
-                for word, mark, follows in _CONTEXT.findall(text or ""):
-                    told = held.setdefault(word.lower(), [0, 0, 0])
+                for word, follows in _closed(text or ""):
+                    told = held.setdefault(word, [0, 0, 0])
                     told[0] += 1
-                    told[1] += bool(mark) or follows.islower()
+                    told[1] += follows in ",;:" or follows.islower()
                     told[2] += follows.isdigit()
         if len(held) > 200_000:
             yield out()
