@@ -486,11 +486,15 @@ def _xml_text(path: str) -> str:
     return f"nullif(replace(replace({text}, chr(2), '<'), chr(3), '&'), '')"
 
 
+#: A record's own number, as it is written; where it is no number, those of the citations after it must not count.
+_PUBLISHED = "trim(regexp_extract(payload, '(?s)<publication-reference>.*?<doc-number>([^<]*)</doc-number>', 1), ' ' || chr(9) || chr(10) || chr(13))"
+
+
 def _xml_sql() -> str:
     """Records by patterns: comments go, character data is kept with its marks replaced, and records without an end are left out."""
     cdata = "regexp_replace(payload, '(?s)<!--.*?-->', '', 'g')"
     pieces = f"list_transform(string_split({cdata}, '<![CDATA['), lambda x, i: CASE WHEN i = 1 THEN x ELSE replace(replace(split_part(x, ']]>', 1), '<', chr(2)), '&', chr(3)) || split_part(x, ']]>', 2) END)"
-    number = "regexp_extract(body, '(?s)<publication-reference>.*?<doc-number>\\s*([0-9]+)\\s*</doc-number>', 1)"
+    number = _PUBLISHED.replace("payload", "body")
     cited = "unnest(regexp_extract_all(coalesce(regexp_extract(body, '(?s)<(?:us-)?references-cited>(.*)</(?:us-)?references-cited>', 1), ''), '(?s)<document-id>(.*?)</document-id>', 1))"
     f = lambda x: f"trim(regexp_extract(c, '<{x}>([^<]*)</{x}>', 1))"
     keep = f"{f('country')} = 'US' AND {f('kind')} IN ('B1', 'B2') AND try_cast({f('date')} AS INTEGER) > 20110000 AND try_cast({f('date')} AS INTEGER) < 20160000 AND regexp_full_match({f('doc-number')}, '[0-9]+')"
@@ -501,7 +505,7 @@ def _xml_sql() -> str:
     columns = columns.replace(" AS claims", " AS spaced") + ", regexp_replace(spaced, '\\s', '', 'g') AS claims"
     return (
         f"WITH recs AS MATERIALIZED (SELECT raw_id, file_id, array_to_string({pieces}, '') AS body FROM grants_raw WHERE fmt = 'xml' AND trim(payload, ' ' || chr(10)) LIKE '%</us-patent-grant>'),"
-        f" own AS (SELECT raw_id, file_id, body, body AS whole, try_cast({number} AS BIGINT) AS doc_id FROM recs),"
+        f" own AS (SELECT raw_id, file_id, body, body AS whole, CASE WHEN regexp_full_match({number}, '[0-9]+') THEN try_cast({number} AS BIGINT) END AS doc_id FROM recs),"
         f" links AS (SELECT raw_id, string_agg(CAST(CAST({f('doc-number')} AS BIGINT) AS VARCHAR), ',' ORDER BY i) AS cites FROM"
         f" (SELECT raw_id, generate_subscripts(xs, 1) AS i, unnest(xs) AS c FROM (SELECT raw_id, {cited[7:-1]} AS xs FROM recs) l) m WHERE {keep} GROUP BY raw_id)"
         f" SELECT * EXCLUDE (spaced) FROM (SELECT doc_id, file_id, {columns}, coalesce(cites, '') AS cites FROM own LEFT JOIN links USING (raw_id) WHERE doc_id IS NOT NULL) x"
@@ -676,7 +680,7 @@ SQL = {
     "search_corrected": _search_corrected_sql(),
     "xml_files": _xml_sql(),
     "xml_rejected": "SELECT file_id, count(*) AS n_records, count(*) FILTER (WHERE NOT (trim(payload, ' ' || chr(10)) LIKE '%</us-patent-grant>')"
-    " OR NOT regexp_matches(payload, '(?s)<publication-reference>.*?<doc-number>\\s*[0-9]+\\s*</doc-number>')) AS n_rejected FROM grants_raw WHERE fmt = 'xml' AND payload IS NOT NULL"
+    f" OR NOT regexp_full_match({_PUBLISHED}, '[0-9]+')) AS n_rejected FROM grants_raw WHERE fmt = 'xml' AND payload IS NOT NULL"
     " AND regexp_matches(payload, '<us-patent-grant[\\s>]') GROUP BY file_id",
     "stop_file": "SELECT DISTINCT unnest(string_split_regex(lower(trim(word, ' ')), '\\s+')) AS word FROM stop_words WHERE trim(word, ' ') <> ''",
 }
