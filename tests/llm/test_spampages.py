@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docquarry.llm import spampages as S
@@ -96,6 +97,91 @@ def test_spam_zoned_as_prose(spark):
         assert sorted(r["id"] for r in got.collect()) == [r[0] for r in more]
 
 
+def foreign(text):
+    """The text in a made-up language: every word spelt backwards."""
+    return " ".join(w[::-1] for w in text.split(" "))
+
+
+def shifted(text):
+    """The text in another: vowels exchanged."""
+    return text.lower().translate(str.maketrans("aeiou", "ouaie"))
+
+
+@pytest.fixture(scope="module")
+def three_languages(spark):
+    """Honest and spam pages of three languages, some of them zoned as prose, some with another language's code or none."""
+    rng = random.Random(13)
+    rows = []
+    for lang, turn, n in (("en", str, 200), ("ne", foreign, 90), ("up", shifted, 60)):
+        rows += [(turn(prose(rng, rng.randint(3, 20))), lang, "description") for _ in range(n)]
+        rows += [(turn(spam(rng, kind)), lang, "description") for kind in ("words", "fake", "lines") for _ in range(4)]
+        rows += [(turn(prose(rng, 6)) + "\n" + turn(spam(rng, "words")), code, "page") for code in (lang, "en", None)]
+        rows += [(turn(prose(rng, rng.randint(3, 20))), code, "page") for code in (lang, "ne", None) for _ in range(8)]
+    rows += [rows[0], rows[205], rows[230]]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id long, body string, lang string, zone string").cache()
+    return df, _shares_of(df)
+
+
+def _shares_of(df):
+    got = S.spam_pages(df, "id", "body", "lang", F.col("zone") == "description").collect()
+    return sorted((r["id"], round(r["share"], 12)) for r in got)
+
+
+@pytest.mark.parametrize("most_pairs, most_languages", [(0, 1), (40, 10_000), (8_000_000, 1), (150, 2)])
+def test_pairs_and_languages_beyond_those_sent(three_languages, monkeypatch, most_pairs, most_languages):
+    """What is sent to the workers changes no result: pairs and languages beyond it are joined."""
+    df, expected = three_languages
+    assert len(expected) >= 36
+    monkeypatch.setattr(S, "MOST_PAIRS", most_pairs)
+    monkeypatch.setattr(S, "MOST_LANGUAGES", most_languages)
+    assert _shares_of(df) == expected
+
+
+@pytest.mark.parametrize("most_pairs, most_languages", [(0, 1), (60, 2)])
+def test_spam_in_prose_beyond_what_is_sent(three_languages, monkeypatch, most_pairs, most_languages):
+    df, _ = three_languages
+    rows = df.select(F.xxhash64("body").alias("row"), (F.col("zone") == "description").alias("prose"), S.language(F.col("lang")).alias("lang"), F.col("body").alias("text"))
+    told = S.prose_texts(rows).cache()
+    counts = S.pair_counts(told).cache()
+    of = lambda: sorted(tuple(r) for r in S.spam_in_prose(told, counts).collect())
+    expected = of()
+    assert {lang for lang, _, _ in expected} == {"en", "ne", "up"}
+    monkeypatch.setattr(S, "MOST_PAIRS", most_pairs)
+    monkeypatch.setattr(S, "MOST_LANGUAGES", most_languages)
+    assert of() == expected
+
+
+def test_likeness_against_plain_counting(spark):
+    """Likeness and language by sets of pairs, whichever part of them is joined."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices("a b c d e f".split(), k=rng.randint(1, 12))) for _ in range(60)]
+    langs = [rng.choice(["x", "y", "", "zz"]) for _ in texts]
+    term = lambda w: int(S.terms(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))[1][0])
+    code = {w: term(w) for w in "abcdef"}
+    two = lambda v, w: int(S.pairs(np.zeros(2, int), np.array([code[v], code[w]], np.uint64), np.array([0, 2]), np.array([1, 3]), np.zeros(2, bool))[0].view(np.int64)[0])
+    common = {lang: set(rng.sample([(v, w) for v in "abcdef" for w in "abcdef"], k)) for lang, k in (("x", 4), ("y", 12), ("w", 9))}
+    expected = []
+    for t, lang in zip(texts, langs):
+        of = list(zip(t.split(), t.split()[1:]))
+        like = {name: sum(p in held for p in of) / max(len(of), 1) for name, held in common.items()}
+        mine, best = like.get(lang, 0.0), lang
+        if mine < S.UNLIKE or lang == "":
+            for name in sorted(like):
+                if like[name] > mine:
+                    mine, best = like[name], name
+        expected.append((best, mine))
+    entries = [(lang, two(*p)) for lang in common for p in sorted(common[lang])]
+    df = spark.createDataFrame([(k, k, False, lang, t) for k, (t, lang) in enumerate(zip(texts, langs))], "key long, row long, prose boolean, lang string, text string")
+    for cut in (0, 10, 36):
+        terms = {t for _, t in entries[:cut]}
+        sent, unsent = [e for e in entries if e[1] in terms], [e for e in entries if e[1] not in terms]
+        names = sorted(common)
+        profile = spark.sparkContext.broadcast(S._Profile(names, [names.index(lang) for lang, _ in sent], [t for _, t in sent]))
+        rest = S.rest_pairs(df, profile, spark.createDataFrame(unsent, "lang string, term long") if unsent else None)
+        got = {r["key"]: (r["lang"], r["likeness"]) for r in S.curve_features(df, profile, "bigint", rest).collect()}
+        assert [got[k] for k in range(len(texts))] == expected
+
+
 def test_without_prose_and_empty(spark):
     df = spark.createDataFrame([(1, spam(random.Random(1), "words"), "en"), (2, None, None)], "id long, body string, lang string")
     assert [r["id"] for r in S.spam_pages(df, "id", "body", "lang", F.lit(None).cast("boolean")).collect()] == [1]
