@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from docquarry import queries
 from docquarry.api import Engine
 from docquarry.operators import evaluation, index, matching, pagerank, ranking
 from docquarry.plans.compiler import Options, compile_query
@@ -10,6 +11,7 @@ from docquarry.plans.parser import parse
 from docquarry.sources import corpus
 from docquarry.sources.corpus import DOCS, read_patent_xml
 from docquarry.streaming import incremental
+from tests.conftest import rows
 
 ROWS = [
     (1, 110101, "Laser scanner", "A scanning laser device. The laser scans a surface.", "A laser.", "Text of the laser.", [2, 9]),
@@ -49,6 +51,25 @@ def test_collection_size_is_sum(idx):
     assert idx.stats.first()["c"] == idx.lexicon.agg(F.sum("cf")).first()[0] and idx.stats.first()["n_docs"] == 4
 
 
+def test_stemmed_cells_are_those_of_occurrences(spark, docs, monkeypatch):
+    plain = docs.drop("token", "ct")
+    monkeypatch.setattr(index, "_AT_ONCE", 4)  # several parts a batch
+    for stops, stem in ((STOPS, True), (STOPS, False), (frozenset(), True)):
+        told = index.build(plain, stops, stem)
+        for mode in ("zones", "occurrences"):
+            got = index.build(plain, stops, stem, mode, local=True)
+            assert rows(got.lexicon) == rows(index.build_lexicon(told.postings, mode))
+        assert rows(got.postings) == rows(told.postings) and rows(got.doc_len) == rows(told.doc_len)
+    r = index.build(plain, STOPS, True, local=True).postings.filter("token = 'scan' AND ct = 'Abstract'").first()
+    assert (r["doc_id"], r["tf"], r["len"], r["positions"]) == (1, 2, 7, [0, 5])  # scanning, scans; "A" is no token
+
+
+def test_stemmed_lexicon_moves_documents_once(spark, data):
+    """Occurrences are not moved, nor do they wait for a stemmer with the tokens of their zones."""
+    plan = queries.QUERIES["stemmed_lexicon"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "EvalPython" not in plan and plan.count("Exchange hashpartitioning") == 2
+
+
 def test_matching(idx):
     assert found(idx, "laser") == [1, 3, 4]
     assert found(idx, "magnet*") == [3]
