@@ -1,5 +1,7 @@
 """The engine on four small documents, and on files."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +56,7 @@ def test_collection_size_is_sum(idx):
 def test_stemmed_cells_are_those_of_occurrences(spark, docs, monkeypatch):
     plain = docs.drop("token", "ct")
     monkeypatch.setattr(index, "_AT_ONCE", 4)  # several parts a batch
+    monkeypatch.setattr(index, "_CELLS", 2)
     for stops, stem in ((STOPS, True), (STOPS, False), (frozenset(), True)):
         told = index.build(plain, stops, stem)
         for mode in ("zones", "occurrences"):
@@ -70,6 +73,35 @@ def test_stemmed_lexicon_moves_documents_once(spark, data):
     assert "Join" not in plan and "EvalPython" not in plan and plan.count("Exchange hashpartitioning") == 2
 
 
+def test_index_keeps_documents_once_and_moves_packed_postings(spark, docs, tmp_path, monkeypatch):
+    """An index is stored without a second copy of its documents, and postings are sorted as packed rows; documents with several rows keep theirs."""
+    plain = docs.drop("token", "ct")
+    names, real = [], index.materialize
+    monkeypatch.setattr(index, "materialize", lambda df, name: names.append(name) or real(df, name))
+    was = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    engine = Engine.index(plain, str(tmp_path / "one"), STOPS)
+    assert names == ["packed", "lengths"] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == was
+    assert rows(engine.tables.postings) == rows(index.build(plain, STOPS, True).postings)
+    odd = plain.unionByName(plain.filter("doc_id = 3").withColumn("title", F.lit("Magnets of scanners")))
+    names.clear()
+    engine = Engine.index(odd, str(tmp_path / "odd"), STOPS)
+    told = index.build(odd, STOPS, True)
+    assert "packed" not in names and rows(engine.tables.postings) == rows(told.postings) and rows(engine.tables.lexicon) == rows(told.lexicon)
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(5)
+    ids = np.append(rng.choice(10**6, 299, replace=False) - 500_000, 2**62)
+    words = ["laser", "scans", "scanning", "the", "valve", "-"]
+    zones = [pa.array([[words[k] for k in rng.integers(0, 6, rng.integers(0, 300))] for _ in ids], pa.list_(pa.string())) for _ in range(4)]
+    got = index._pack(ids, zones, STOPS, True)
+    assert max(got["n"].to_pylist()) == 64 and sum(got["occ"].to_pylist()) == sum(w != "the" for z in zones for d in z.to_pylist() for w in d)
+    values = index._numbers(np.frombuffer(b"".join(got["cells"].to_pylist()), np.uint8))
+    assert len(values) == 3 * sum(got["n"].to_pylist()) + sum(got["occ"].to_pylist())
+    few = np.array([0, 127, 128, 2**32, 2**64 - 1, 5], np.uint64)
+    assert (index._numbers(index._varints(few)[0]) == few).all()
+
+
 def test_matching(idx):
     assert found(idx, "laser") == [1, 3, 4]
     assert found(idx, "magnet*") == [3]
